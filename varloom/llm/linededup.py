@@ -48,7 +48,8 @@ def boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source", min_w
     spread = checkpointed(spread.where(F.col("about") >= F.lit(low)))
     sure = spread.where(F.col("about") > F.lit(high)).select("key", F.lit(None).cast("long").alias("n_sites"))
     near = spread.where(F.col("about") <= F.lit(high)).select("key")
-    pairs = _lines(docs, site, min_words).join(near, "key", "left_semi").distinct()
+    # distinct pairs first: a line of a third of all documents then has one row for each site
+    pairs = _lines(docs, site, min_words).distinct().join(near, "key", "left_semi")
     exact = pairs.groupBy("key").agg(F.count("site").alias("n_sites")).where(F.col("n_sites") >= sites)
     return sure.union(exact)
 
@@ -57,7 +58,7 @@ def _removed(docs: DataFrame, keys: DataFrame, min_words: int) -> DataFrame:
     """For each distinct text with boilerplate: its md5 and the positions of those lines."""
     texts = docs.select(F.md5(F.col("text")).alias("of"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = texts.where(counted(F.col("line"), min_words)).select("of", "at", line_key(F.col("line")).alias("key"))
-    return lines.join(keys.select("key"), "key").groupBy("of").agg(F.collect_set("at").alias("gone"))
+    return lines.join(keys.select("key"), "key").groupBy("of").agg(F.collect_set("at").alias("_gone"))
 
 
 def remove(docs: DataFrame, keys: DataFrame, min_words: int = MIN_WORDS, max_share: float = MAX_SHARE, inline: int = INLINE) -> DataFrame:
@@ -69,8 +70,8 @@ def remove(docs: DataFrame, keys: DataFrame, min_words: int = MIN_WORDS, max_sha
         rows = docs.withColumns({"_lines": F.size(lines), "_kept": kept})
     else:
         rows = docs.withColumn("_of", F.md5(F.col("text"))).join(_removed(docs, keys, min_words).withColumnRenamed("of", "_of"), "_of", "left")
-        kept = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-        rows = rows.withColumns({"_lines": F.size(lines), "_kept": kept}).drop("_of", "gone")
+        kept = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
+        rows = rows.withColumns({"_lines": F.size(lines), "_kept": kept}).drop("_of", "_gone")
     clean = F.array_join("_kept", "\n")
     most = F.length("text") * F.lit(1 - max_share)
     whole = F.length(clean) < most
