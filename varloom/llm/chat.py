@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import checkpointed
+from varloom.llm.common import checkpointed, written
 
 PARTS = (
     "conv_id long, turn long, part int, role string, kind string, call_id string, name string, error string, refs array<string>, "
@@ -129,6 +129,7 @@ def link(found: DataFrame) -> DataFrame:
     calls = calls.select(*key, F.col("c.turn").alias("call_turn"), F.col("c.part").alias("call_part"), F.col("c.body").alias("call_body"), "c.refs", F.coalesce("c.turn", F.lit(0)).alias("at"), F.lit(0).alias("deep"))
     results = found.where("kind = 'result'").groupBy(*key).agg(F.min(F.coalesce("turn", F.lit(0))).alias("result_turn"))
     calls = checkpointed(calls.join(results, key, "left"))
+    last = None
     for _ in range(ROUNDS):
         if calls.where(F.size("refs") > 0).isEmpty():
             break
@@ -138,7 +139,7 @@ def link(found: DataFrame) -> DataFrame:
         after = wants.groupBy(*key).agg(F.max("end").alias("end"), F.max("end_deep").alias("end_deep"))
         moved = calls.join(after, key, "left").withColumns({"new_at": F.greatest("at", F.coalesce("end", "at")), "new_deep": F.greatest("deep", F.coalesce(F.col("end_deep") + 1, "deep"))})
         changed = F.col("new_at").eqNullSafe(F.col("at")) & F.col("new_deep").eqNullSafe(F.col("deep"))
-        moved = checkpointed(moved.withColumn("changed", ~changed))
+        moved = last = written(moved.withColumn("changed", ~changed), replaces=last)
         calls = moved.select(*key, "call_turn", "call_part", "call_body", "refs", F.col("new_at").alias("at"), F.col("new_deep").alias("deep"), "result_turn")
         if moved.where("changed").isEmpty():
             break

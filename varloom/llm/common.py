@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    if spark.sparkContext.getCheckpointDir() is None:
+        checkpointed(spark.range(1))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def written(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """As checkpointed, but as a table in that folder: for loops, whose plans would carry size estimates that multiply.
+
+    The table that it replaces is deleted.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    if replaces is not None and hasattr(replaces, "written_to"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(replaces.written_to)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return out
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder; a null id is never held out."""
     crc = F.crc32(doc_id.cast("string").cast("binary"))

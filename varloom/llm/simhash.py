@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.llm.common import checkpointed, partitions, text_values
+from varloom.llm.common import checkpointed, partitions, written
 
 SEED = 42
 RADIUS = 2
@@ -244,7 +244,7 @@ def links(distinct: DataFrame, cell: Column, steps: list[int], words: int, radiu
 
 def components(found: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the smallest node reachable) for every node of the links a, b; by alternating large and small stars."""
-    edges = checkpointed(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = written(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -253,13 +253,13 @@ def components(found: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.distinct()
         centre = low.groupBy("b").agg(F.min("a").alias("m"))
         small = low.join(centre, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
-        edges = checkpointed(small)
+        edges = written(small, replaces=edges)
         # done when every node hangs on one root, and no root hangs on another
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    return edges.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
 
 
 def groups(prints: DataFrame, words: int, radius: int, similarity: float | None = None, tile: int = TILE) -> DataFrame:
@@ -293,7 +293,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     Fingerprints of 64 * words bits are linked where as few bits differ as sets of this Jaccard similarity are expected to.
     """
     f = names(words)
-    mine = F.struct(F.col("doc_id").cast("long").alias("i"), F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]).alias("h"))
+    mine = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("i"), F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]).alias("h"))
     prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mine.alias("mine"), fingerprints(F.col("text"), size, words).alias("p"))
     prints = checkpointed(prints.select("doc_id", "mine", "p.*"))
     # of one fingerprint only the smallest row can stay
@@ -301,14 +301,14 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     light = same.groupBy(*f, "n").agg(F.min(F.struct("mine", "rows")).alias("m")).select(*f, "n", "m.mine", "m.rows", F.col("m.mine.i").alias("doc_id"))
     grouped = groups(checkpointed(light), words, similarity_radius(similarity, words), similarity)
     kept = grouped.groupBy("component_id").agg(F.min(F.struct("mine", "rows")).alias("m"))
-    kept = checkpointed(kept.select(F.col("m.mine.i").alias("_i"), F.col("m.mine.h").alias("_h"), F.col("m.rows").alias("_rows")))
-    keyed = docs.withColumns({"_i": F.col("doc_id").cast("long"), "_h": F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])})
+    kept = checkpointed(kept.select(F.col("m.mine.i").alias("_own_i"), F.col("m.mine.h").alias("_own_h"), F.col("m.rows").alias("_own_rows")))
+    keyed = docs.withColumns({"_own_i": F.col("doc_id").cast("long"), "_own_h": F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])})
 
     def staying(keys: DataFrame) -> DataFrame:
-        return keyed.join(keys, keyed["_i"].eqNullSafe(keys["_i"]) & (keyed["_h"] == keys["_h"]), "left_semi")
+        return keyed.join(keys, keyed["_own_i"].eqNullSafe(keys["_own_i"]) & (keyed["_own_h"] == keys["_own_h"]), "left_semi")
 
-    out = staying(kept.where("_rows = 1")).drop("_i", "_h")
-    if not kept.where("_rows > 1").isEmpty():  # rows that are equal in every column: one of them
-        once = F.row_number().over(Window.partitionBy("_i", "_h").orderBy(F.lit(0)))
-        out = out.union(staying(kept.where("_rows > 1")).withColumn("_once", once).where("_once = 1").drop("_i", "_h", "_once"))
+    out = staying(kept.where("_own_rows = 1")).drop("_own_i", "_own_h")
+    if not kept.where("_own_rows > 1").isEmpty():  # rows that are equal in every column: one of them
+        once = F.row_number().over(Window.partitionBy("_own_i", "_own_h").orderBy(F.lit(0)))
+        out = out.union(staying(kept.where("_own_rows > 1")).withColumn("_own_once", once).where("_own_once = 1").drop("_own_i", "_own_h", "_own_once"))
     return out
