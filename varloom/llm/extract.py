@@ -52,6 +52,7 @@ UNWANTED = frozenset(
     "skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
 NOT_ARTICLES = frozenset("ad ads advert advertisement comment comments promo related replies reply sidebar sponsored teaser".split())
+PAGES = 100  # in a range, at least
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -225,7 +226,7 @@ def _common(a: str, b: str) -> int:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text for every page."""
-    buckets = partitions(pages.sparkSession) * 2
+    buckets = min(partitions(pages.sparkSession) * 2, pages.count() // PAGES)  # never so many that pages lose their pairs
     sites = pages.select(F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^\w+://(www\.)?", "").alias("site"))
     cuts = boundaries(sites, "site", buckets)
 
