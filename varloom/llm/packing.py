@@ -2,8 +2,9 @@
 
 Documents are cut only where they exceed a sequence. Pieces are dealt to groups of bounded size and each group is packed
 by best-fit decreasing. Dual-feasible-function bounds say how few bins a group could need; a group that reaches its bound
-is certified and stays. Any other group gives up its bins with gaps; these pieces are dealt anew to fewer groups, so that
-gaps of different groups meet, and packed again, until one group is left or all are certified.
+is certified: no exchange could improve it, and it stays. A group that needs more bins, or whose bound is its volume alone
+and so leaves a remainder, gives up its bins with gaps; these pieces are dealt anew to fewer groups, so that gaps of
+different groups meet, and packed again, until one group is left or all are certified.
 
 Nulls and edges: a null or empty text is a document of one id (the end id). A null doc_id is packed like any other.
 Repeated rows are packed once each. An empty table gives an empty result. Extra columns are not read.
@@ -112,7 +113,9 @@ def _packed(dealt: DataFrame, round_no: int, capacity: int, last: bool, gap: int
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         lengths = rows["length"].to_numpy()
         bins, offsets, fill = best_fit(lengths, capacity)
-        certified = last or fill.size <= lower_bound(lengths, capacity)
+        needed = lower_bound(lengths, capacity)
+        # a bound by volume alone leaves a remainder, and remainders of several groups share bins
+        certified = last or fill.size <= needed and needed > -(-int(lengths.sum()) // capacity)
         rows["loose"] = False if certified else (capacity - fill[bins]) >= gap
         rows["bin"] = (np.int64(round_no) << 58) + (np.int64(key[0]) << 26) + bins
         rows["offset"] = offsets
