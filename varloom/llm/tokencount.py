@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.llm.common import text_values
+from varloom.llm.common import checkpointed, text_values
 from varloom.llm.wordbpe import word_bpe
 
 COARSE = 1024
@@ -41,7 +41,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     block; there are as many blocks as the longest document has thousands of tokens.
     """
     block = F.col("n_tokens") - F.pmod(F.col("n_tokens"), F.lit(COARSE))
-    rows = hist.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), block.alias("block"))
+    rows = checkpointed(hist).select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), block.alias("block"))
     down = Window.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)
     fine = rows.withColumns({"docs_in": F.sum("n_docs").over(down), "tokens_in": F.sum("tokens").over(down)})
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
