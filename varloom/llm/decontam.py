@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q = 8
-WINDOW = 100
+WINDOW = 80
 MIN_CHARS = 40
 #: Edits allowed for each character of a window.
-EDITS = 0.06
+EDITS = 0.08
 BLOCK_CHARS = 4_000_000
 MATCHES = "doc_id long, item_id long, start long, length long, edits int"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,7 +86,7 @@ class Block:
             if len(text) < min_chars:
                 continue
             last = max(0, len(text) - window)
-            for at in sorted({*range(0, last, window // 2), last}):
+            for at in sorted({*range(0, last, window // 4), last}):
                 part = text[at : at + window]
                 if part not in seen:
                     seen.add(part)
