@@ -278,7 +278,8 @@ def groups(prints: DataFrame, words: int, radius: int, similarity: float | None
     moved = linked.join(least, "root").select("id", "component_id")
     found = prints.withColumn("id", F.xxhash64(*same) if len(same) > 1 else F.col("f0"))
     by_id = distinct.select("id", "least").join(moved, "id", "left").select("id", F.coalesce("component_id", "least").alias("component_id"))
-    return found.join(by_id, "id").drop("id")
+    # read anew, so that the join has a shuffle on either side and a text of a third of all documents can be split
+    return found.join(checkpointed(by_id), "id").drop("id")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> DataFrame:
