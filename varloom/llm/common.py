@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Rows taken, in hash order, to place range boundaries. They only decide how rows are dealt, never a result.
 BOUNDARY_SAMPLE = 5000
+HASH_SPAN = 1 << 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,23 +67,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def boundaries(df: DataFrame, key: str, buckets: int) -> list:
+def by_hash(columns: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(HASH_SPAN))
+
+
+def below(rows: int, of: int) -> int:
+    """A hash under which about twice `rows` of `of` rows lie, and all where they are few."""
+    return HASH_SPAN if of <= 2 * rows + 1000 else int(HASH_SPAN * (2 * rows + 1000) / of)
+
+
+def first_by_hash(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
+    """The first rows in hash order. A filter goes before the sort, so tasks send a few rows each, however many they are."""
+    order = by_hash(columns)
+    return df.where(order < below(rows, df.count())).orderBy(order, *columns).limit(rows)
+
+
+def boundaries(df: DataFrame, key: str, buckets: int, by: str | None = None) -> list:
     """At most buckets - 1 ascending values that divide the key's range about evenly.
 
-    They come from a bounded sample in hash order, so the same table always gives the same boundaries.
+    They come from a bounded sample in hash order (of the column `by`), so the same table always gives the same boundaries.
     """
-    rows = (
-        df.where(F.col(key).isNotNull())
-        .select(key)
-        .orderBy(F.xxhash64(key), F.col(key))
-        .limit(BOUNDARY_SAMPLE)
-        .collect()
-    )
-    keys = sorted(row[0] for row in rows)
-    if not keys or buckets < 2:
+    if buckets < 2:
         return []
-    cuts = {keys[len(keys) * i // buckets] for i in range(1, buckets)}
-    return sorted(cuts)
+    known = df.where(F.col(key).isNotNull())
+    keys = sorted(row[key] for row in first_by_hash(known, [by or key], BOUNDARY_SAMPLE).select(key).collect())
+    return sorted({keys[len(keys) * i // buckets] for i in range(1, buckets)}) if keys else []
 
 
 def by_bucket(df: DataFrame, bucket: str, buckets: int) -> DataFrame:

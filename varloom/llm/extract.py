@@ -227,8 +227,8 @@ def _common(a: str, b: str) -> int:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text for every page."""
     buckets = min(partitions(pages.sparkSession) * 2, pages.count() // PAGES)  # never so many that pages lose their pairs
-    sites = pages.select(F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^\w+://(www\.)?", "").alias("site"))
-    cuts = boundaries(sites, "site", buckets)
+    sites = pages.select("page_id", F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^\w+://(www\.)?", "").alias("site"))
+    cuts = boundaries(sites, "site", buckets, "page_id")
 
     def pair(batches):
         held: list[tuple] = []  # the page before, and this one until the next is known

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.llm.common import below, by_hash
+
 DIMENSIONS = 4096
 #: At most so many documents of each language, in hash order, are used to fit, and so many languages are learned.
 FIT_ROWS_PER_LANG = 400
@@ -92,8 +94,12 @@ def fit(docs: DataFrame, teaches: Column | None = None, rows: int = FIT_ROWS_PER
     ids = ids.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     ids = ids.where(teaches) if teaches is not None else ids
     many = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGS).collect()}
-    ranked = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    first = ids.where(F.col("lang").isin(list(many))).withColumn("rank", ranked).where(F.col("rank") <= rows)  # tasks keep the first rows only
+    order = by_hash(["doc_id"])
+    limit = F.lit(0)
+    for lang, n in many.items():  # of each language about twice the rows pass to the ranking
+        limit = F.when(F.col("lang") == lang, below(rows, n)).otherwise(limit)
+    ranked = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
+    first = ids.where(order < limit).withColumn("rank", ranked).where(F.col("rank") <= rows)
     few = first.select("doc_id", F.col("lang").alias("taught")).dropDuplicates(["doc_id"])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
 

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.llm.common import first_by_hash
+
 #: At most so many labelled rows, in hash order, are used to fit.
 FIT_ROWS = 8000
 FEATURES = (
@@ -134,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column | None = None, rows:
     use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     use = use.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     use = use.where(teaches) if teaches is not None else use
-    use = use.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    use = first_by_hash(use.groupBy("doc_id").agg(F.min("quality").alias("quality")), ["doc_id"], rows)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = chosen.join(F.broadcast(use), "doc_id")  # at most `rows` ids
 
