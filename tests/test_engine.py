@@ -294,3 +294,17 @@ def test_streaming_ingest(spark, vcf_path, tmp_path):
     assert run() == 2
     (folder / "2.vcf").write_text("\n".join([*HEAD, *BODY[1:4]]) + "\n")
     assert run() == 4 and run() == 4
+
+
+def test_transmission_repeats_and_null_ids(spark):
+    """Every combination of repeated rows, as joins on id give them."""
+    rows = [(1, "i", 1, 1), (1, "i", 2, 2), (1, "m", 1, 3), (1, "m", 2, 4), (1, "f", 1, 5), (None, "i", 1, 6), (None, "i", 1, 7), (None, "m", 2, 8), (2, "m", 1, 9)]
+    frame = spark.createDataFrame(rows, "id long, sample string, gt int, dp long")
+    i, m, f = ([r for r in rows if r[1] == s] for s in "imf")
+    want = []
+    for a in i:
+        mothers = [b for b in m if b[0] == a[0] and a[0] is not None] or [(None, None, 0, None)]
+        fathers = [b for b in f if b[0] == a[0] and a[0] is not None] or [(None, None, 0, None)]
+        want += [(a[0], a[2], a[3], b[2], b[3], c[2], c[3]) for b in mothers for c in fathers]
+    got = [tuple(r)[:-1] for r in transmission(frame, "i", "m", "f").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)

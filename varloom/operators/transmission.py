@@ -9,40 +9,37 @@ from varloom.errors import NoGTError
 from varloom.functions.fields import origin_char
 
 
-def _of(genotypes: DataFrame, sample: str, prefix: str, keys: list[str]) -> DataFrame:
-    own = genotypes.where(F.col("sample") == sample)
-    return own.select("id", *[F.col(f"`{k}`").alias(f"{prefix}_{k}") for k in keys])
-
-
 def transmission(genotypes: DataFrame, index: str, mother: str | None = None, father: str | None = None) -> DataFrame:
     """id, index_*, mother_*, father_* and origin: one character for each gt.
 
-    A named parent without the variant has gt 0; columns of an unnamed one are null. Only the named samples are read, and
-    every join is on id, so one partitioning serves them all.
+    A named parent without the variant has gt 0; columns of an unnamed one are null. Where a sample has several rows of a
+    variant, every combination comes back; a null id matches nothing.
+
+    One scan and one shuffle of the named samples' rows serve all three: they meet by id, each sample in a list of its own.
     """
     keys = [c for c in genotypes.columns if c not in ("id", "sample")]
     if "gt" not in keys:
         raise NoGTError("genotype polars.LazyFrame")
-    out = _of(genotypes, index, "index", keys)
-    parents = None
-    for name, prefix in ((mother, "mother"), (father, "father")):
-        if name is not None:
-            own = _of(genotypes, name, prefix, keys)
-            parents = own if parents is None else parents.join(own, "id", "full")
-    if parents is not None:
-        out = out.join(parents, "id", "left")
     kinds = {f.name: f.dataType for f in genotypes.schema.fields}
-    columns = [F.col("id"), *[F.col(f"`index_{k}`") for k in keys]]
-    for name, prefix in ((mother, "mother"), (father, "father")):
+    named = {"index": index, "mother": mother, "father": father}
+    rows = genotypes.where(F.col("sample").isin([s for s in named.values() if s is not None]))
+    value = F.struct(*[F.col(f"`{k}`") for k in keys])
+    lists = [F.collect_list(F.when(F.col("sample") == s, value)).alias(p) for p, s in named.items() if s is not None]
+    alone = F.when(F.col("id").isNull(), F.monotonically_increasing_id())  # rows without id stay apart
+    met = rows.groupBy("id", alone.alias("_alone")).agg(*lists).drop("_alone")
+    out = met.withColumn("index", F.explode("index"))
+    for p in ("mother", "father"):
+        if named[p] is not None:
+            out = out.withColumn(p, F.explode_outer(p))
+    columns = [F.col("id")]
+    for p, s in named.items():
         for k in keys:
-            if name is None:
-                columns.append(F.lit(None).cast(kinds[k]).alias(f"{prefix}_{k}"))
-            elif k == "gt":
-                columns.append(F.coalesce(f"{prefix}_gt", F.lit(0).cast(kinds[k])).alias(f"{prefix}_gt"))
-            else:
-                columns.append(F.col(f"`{prefix}_{k}`"))
+            column = F.col(p)[k] if s is not None else F.lit(None).cast(kinds[k])
+            if k == "gt" and p != "index" and s is not None:
+                column = F.coalesce(column, F.lit(0).cast(kinds[k]))
+            columns.append(column.alias(f"{p}_{k}"))
     out = out.select(*columns)
-    return out.withColumn("origin", F.concat(*[origin_char(F.col(f"{p}_gt")) for p in ("index", "mother", "father")]))
+    return out.withColumn("origin", F.concat(*[origin_char(F.col(f"{p}_gt")) for p in named]))
 
 
 def family(pedigree: DataFrame) -> tuple[str, str | None, str | None]:
