@@ -308,3 +308,11 @@ def test_transmission_repeats_and_null_ids(spark):
         want += [(a[0], a[2], a[3], b[2], b[3], c[2], c[3]) for b in mothers for c in fathers]
     got = [tuple(r)[:-1] for r in transmission(frame, "i", "m", "f").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_wide_cohort_equals_columns(spark, vcf_path):
+    names = ["NA.1", "s2"]
+    narrow, wide = read_vcf(spark, vcf_path), read_vcf(spark, vcf_path, wide=1)
+    assert "_samples" in wide.frame.columns and "s2" not in wide.frame.columns
+    a, b = (genotypes(v.frame, v.header.format_parser(), samples=names) for v in (narrow, wide))
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())) and a.count() == 4

@@ -11,8 +11,8 @@ from varloom.errors import NoGenotypeError, UnknownFormatError
 from varloom.functions.fields import Parser, sub_field
 from varloom.sources.header import FIXED
 
-#: Sample columns beyond which rows are split into (sample, value) as maps would be, to keep generated code small.
-WIDE = 200
+#: The list column of frames with very many samples.
+LISTED = "_samples"
 
 
 def samples_of(frame: DataFrame) -> list[str]:
@@ -23,7 +23,7 @@ def genotypes(frame: DataFrame, parsers: Mapping[str, Parser], format_string: st
     """id, sample and one column per FORMAT key, one row per variant and sample.
 
     Rows whose own format doesn't begin with the asked one are left out; so are no-calls and homozygous references, if GT is
-    asked for. A trailing part that a row leaves out is null.
+    asked for. A trailing part that a row leaves out is null. samples names the samples of a list column, in its order.
     """
     if "format" not in frame.columns:
         raise NoGenotypeError
@@ -33,8 +33,12 @@ def genotypes(frame: DataFrame, parsers: Mapping[str, Parser], format_string: st
             raise UnknownFormatError(key)
     samples = samples_of(frame) if samples is None else samples
     rows = frame.where(F.col("format").startswith(format_string))
-    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), F.col(f"`{s}`").alias("value")) for s in samples]))
-    long = rows.select("id", pairs.alias("p")).select("id", "p.sample", "p.value")
+    if LISTED in frame.columns:
+        found = rows.select("id", F.posexplode(LISTED).alias("at", "value"))
+        long = found.select("id", F.get(F.array(*map(F.lit, samples)), F.col("at")).alias("sample"), "value")
+    else:
+        pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), F.col(f"`{s}`").alias("value")) for s in samples]))
+        long = rows.select("id", pairs.alias("p")).select("id", "p.sample", "p.value")
     out = long.select("id", "sample", *[parsers[key](sub_field(F.col("value"), k)).alias(key.lower()) for k, key in enumerate(keys)])
     return out.where("gt <> 0") if "GT" in keys else out
 

@@ -14,8 +14,9 @@ from varloom.sources.contigs import ContigsLength
 from varloom.sources.header import FIXED, VcfHeader, head_lines
 
 PED = "family_id string, personal_id string, father_id string, mother_id string, sex string, affected string"
-#: Samples beyond which a line is kept whole and split by position rather than read as so many columns.
+#: With more samples than this a frame has them in one list column, in header order: thousands of columns make plans slow.
 WIDE = 200
+SAMPLES = "_samples"
 
 
 @dataclass
@@ -27,8 +28,11 @@ class Vcf:
     contigs: ContigsLength
 
 
-def read_vcf(spark: SparkSession, path: str, contigs_path: str | None = None, drop_star: bool = False, manage_sv: bool = True) -> Vcf:
-    """Tab-separated body without quoting; short rows are padded with nulls. Lengths of the file win over the header's."""
+def read_vcf(spark: SparkSession, path: str, contigs_path: str | None = None, drop_star: bool = False, manage_sv: bool = True, wide: int = WIDE) -> Vcf:
+    """Tab-separated body without quoting; short rows are padded with nulls. Lengths of the file win over the header's.
+
+    Files of more than `wide` samples get one list column `_samples` instead of a column for each.
+    """
     try:
         header = VcfHeader.from_path(spark, path)
         samples = header.samples_index
@@ -39,9 +43,16 @@ def read_vcf(spark: SparkSession, path: str, contigs_path: str | None = None, dr
         contigs = ContigsLength.from_vcf_header(header)
     if not contigs.rows:
         raise NoContigsLengthInformationError
-    names = [*FIXED, *(["format", *samples] if samples else [])]
-    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    frame = spark.read.csv(path, schema=schema, sep="\t", comment="#", header=False, quote="", escape="", ignoreLeadingWhiteSpace=False)
+    many = len(samples or ())
+    names = [*FIXED, *(["format", *([SAMPLES] if many > wide else samples)] if many else [])]
+    if many > wide:
+        parts = F.split("value", "\t")
+        body = spark.read.text(path).where(~F.col("value").startswith("#"))
+        fixed = [F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(names[:-1])]
+        frame = body.select(*fixed, F.slice(parts, len(names), many).alias(SAMPLES))
+    else:
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        frame = spark.read.csv(path, schema=schema, sep="\t", comment="#", header=False, quote="", escape="", ignoreLeadingWhiteSpace=False)
     frame = frame.withColumn("pos", F.col("pos").cast("long"))
     if drop_star:
         frame = frame.where("alt <> '*'")
