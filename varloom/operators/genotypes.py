@@ -50,11 +50,12 @@ def sample_names(frame: DataFrame) -> DataFrame:
 def add_genotypes(variants: DataFrame, long: DataFrame, samples: list[str], how: str = "left") -> DataFrame:
     """One row per variant with `{sample}_{key}` columns: one pivot and one join, however many samples.
 
+    Of repeated rows of a variant and sample the largest value of each key counts, so the result doesn't depend on row order.
     how="full" also keeps genotypes of unknown variants, with empty variant columns.
     """
     names = list(dict.fromkeys(samples))
     keys = [c for c in long.columns if c not in ("id", "sample")]
     wide = long.where(F.col("sample").isin(names)).groupBy("id").agg(
-        *[F.first(F.when(F.col("sample") == s, F.col(k)), ignorenulls=True).alias(f"{s}_{k}") for s in names for k in keys]
+        *[F.max(F.when(F.col("sample") == s, F.col(k))).alias(f"{s}_{k}") for s in names for k in keys]
     )
     return variants.join(wide, "id", how)
