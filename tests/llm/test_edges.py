@@ -139,7 +139,7 @@ def test_simhash_tiles_and_chains(spark):
     from tests.llm.test_contracts import reachable
 
     want = reachable(prints, 2)
-    for tile in (3, simhash.TILE):
+    for tile in (3, None):
         got = simhash.groups(frame, 1, 2, tile=tile).collect()
         assert {r["doc_id"]: r["component_id"] for r in got} == want
 

@@ -36,7 +36,9 @@ from varloom.llm.common import checkpointed, partitions, written
 SEED = 42
 RADIUS = 2
 PARTS = 4
-TILE = 1 << 15
+#: Distinct fingerprints of a tile: a 64th of the largest cell, within these bounds.
+LEAST_TILE, MOST_TILE = 1 << 12, 1 << 19
+FLUSH = 1 << 15  # visitors compared at a time
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -179,11 +181,16 @@ def _forest(home: np.ndarray, visitors: np.ndarray, radius: int, within: bool):
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def links(distinct: DataFrame, cell: Column, steps: list[int], words: int, radius: int, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, cell: Column, steps: list[int], words: int, radius: int, tile: int | None = None) -> DataFrame:
     """Spanning links (a, b) between ids of distinct fingerprints within the radius. distinct: id, f0, ..., n; ids unique."""
     spark, f = distinct.sparkSession, names(words)
     rows = distinct.select("id", *f, cell.alias("cell"))
-    many = checkpointed(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("in_cell")).select(F.col("cell").alias("to"), F.ceil(F.col("in_cell") / F.lit(tile)).cast("int").alias("tiles")))
+    many = checkpointed(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("in_cell")))
+    if tile is None:
+        largest = many.agg(F.max("in_cell")).first()[0] or 0
+        tile = min(max(largest // 64, LEAST_TILE), MOST_TILE)
+    many = many.select(F.col("cell").alias("to"), F.ceil(F.col("in_cell") / F.lit(tile)).cast("int").alias("tiles"))
+    tiles = many.agg(F.sum("tiles")).first()[0] or 0
     # cells by population count number 17^4 at most, cells by length a few hundred
     many = F.broadcast(many)
     own = rows.join(many, F.col("cell") == F.col("to")).withColumn("tile", F.pmod(F.xxhash64(*f), F.col("tiles")).cast("int"))
@@ -230,7 +237,7 @@ def links(distinct: DataFrame, cell: Column, steps: list[int], words: int, radiu
                         alone = True
                     visits.append(data[begin:end])
                     size += end - begin
-                    if size >= TILE:
+                    if size >= FLUSH:
                         yield from flush(key, home, visits)
                         visits, size = [], 0
         if visits:
@@ -238,7 +245,8 @@ def links(distinct: DataFrame, cell: Column, steps: list[int], words: int, radiu
         elif not alone:
             yield from flush(key, home, [])
 
-    dealt = met.repartition(partitions(spark), "to", "tile").sortWithinPartitions("to", "tile", "role")
+    tasks = max(partitions(spark), min(2 * tiles, 4 * partitions(spark)))
+    dealt = met.repartition(tasks, "to", "tile").sortWithinPartitions("to", "tile", "role")
     return dealt.mapInArrow(compare, "a long, b long")
 
 
@@ -262,7 +270,7 @@ def components(found: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def groups(prints: DataFrame, words: int, radius: int, similarity: float | None = None, tile: int = TILE) -> DataFrame:
+def groups(prints: DataFrame, words: int, radius: int, similarity: float | None = None, tile: int | None = None) -> DataFrame:
     """prints: doc_id, f0, ..., n, checkpointed. Adds component_id, the smallest doc_id reachable by links."""
     f = names(words)
     same = [*f, "n"] if similarity else f
