@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from varloom.llm.common import checkpointed, text_values
 from varloom.llm.wordbpe import word_bpe
 
-COARSE = 1024
+COARSE = 128
 
 
 def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -38,7 +38,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     """For each length: documents and tokens at or above it, and the total if every document were cut to it.
 
     Sums run within blocks of lengths, and over the blocks' totals, so no task holds more than a block or one row for each
-    block; there are as many blocks as the longest document has thousands of tokens.
+    block; there are as many blocks as the longest document has times 128 tokens.
     """
     block = F.col("n_tokens") - F.pmod(F.col("n_tokens"), F.lit(COARSE))
     rows = checkpointed(hist).select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), block.alias("block"))
