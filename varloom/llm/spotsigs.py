@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from math import ceil, log
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -185,7 +185,3 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     near = pairs.join(left, "a").join(right, "b").where(shared >= F.lit(threshold) * (F.size("sa") + F.size("sb") - shared) - F.lit(1e-9))
     near = near.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
     return found.select("doc_id", "class_id").join(near, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def least_shared(n: int, threshold: float) -> int:
-    return ceil(threshold * n - 1e-9)
