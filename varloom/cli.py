@@ -17,7 +17,7 @@ from varloom.operators.variants import annotations, variants
 from varloom.plans.layout import hive_genotypes, merge_variants
 from varloom.sources.header import VcfHeader
 from varloom.sources.readers import read_metadata, read_pedigree, read_vcf
-from varloom.sources.writers import RowNames, write_headers, write_parquet, write_pedigree, write_vcf
+from varloom.sources.writers import RowNames, write_headers, write_parquet, write_vcf
 
 BAD_HEADER, NOT_A_VCF, NO_CONTIGS, NO_FAMILY = 11, 12, 13, 31
 GROUPS = {"vcf2parquet": ("variants", "genotypes", "annotations", "headers"), "struct": ("variants", "genotypes")}
@@ -202,7 +202,5 @@ def main(args: list[str] | None = None, spark=None) -> int:
     return COMMANDS[options.command](spark, options.rest)
 
 
-__all__ = ["main", "write_pedigree"]
-
 if __name__ == "__main__":
     sys.exit(main())
