@@ -1,18 +1,17 @@
 """From documents to packed sequences: quality, line dedup, near-dedup, decontamination, packing.
 
 Each stage takes what its predecessor kept and returns the columns of documents, the last one packed pieces. `run` writes
-each stage as Parquet beside the checkpoints and reads it again, so a lost executor repeats one stage at most.
+each stage as Parquet in the shared folder and reads it again, so a lost executor repeats one stage at most; the stage before
+is then deleted.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.llm import decontam, linededup, packing, quality, simhash
-from varloom.llm.common import checkpointed, table
+from varloom.llm.common import table, written
 from varloom.llm.registry import tokenizer
 
 #: SQL can express neither trained trees nor tokenization nor best-fit packing; tests compare with brute force.
@@ -64,10 +63,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    checkpointed(spark.range(1))  # names the shared folder
-    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = f"{base}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), replaces=docs)
     return docs
