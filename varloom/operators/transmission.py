@@ -19,7 +19,7 @@ def transmission(genotypes: DataFrame, index: str, mother: str | None = None, fa
     """
     keys = [c for c in genotypes.columns if c not in ("id", "sample")]
     if "gt" not in keys:
-        raise NoGTError("genotype polars.LazyFrame")
+        raise NoGTError("genotypes")
     kinds = {f.name: f.dataType for f in genotypes.schema.fields}
     named = {"index": index, "mother": mother, "father": father}
     rows = genotypes.where(F.col("sample").isin([s for s in named.values() if s is not None]))
