@@ -241,3 +241,38 @@ def test_chat(spark):
     body = next(r["body"] for r in got if (r["conv_id"], r["turn"]) == (1, 2))
     assert body == '{"role":"assistant","tool_call":{"arguments":{"a":1,"b":2},"id":"x","name":"add"}}'
     assert chat.format_chats(frame.where("false"), SCHEMAS).count() == 0
+
+
+@pytest.mark.parametrize("rows_of_tile", [4, 1 << 11])
+def test_near_copies_are_those_of_exact_jaccard(spark, monkeypatch, rows_of_tile):
+    """Texts with about a fifth of their shingles changed, at either side of 0.8, against brute force over whole sets."""
+    import random
+
+    monkeypatch.setattr(simhash, "SET_ROWS", rows_of_tile)
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    texts = []
+    for k in range(40):
+        base = [r.choice(words) for _ in range(r.choice((30, 60, 200)))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            t = list(base)
+            for at in r.sample(range(len(t)), max(1, round(len(t) * r.choice((0.015, 0.02, 0.025, 0.03))))):
+                t[at] = r.choice(words)
+            texts.append(" ".join(t))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                p, q = sorted((root(a), root(b)))
+                parent[q] = p
+    want = {root(k) for k in range(len(texts))}
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(spark.createDataFrame([row(k, t) for k, t in enumerate(texts)], SCHEMA)).collect()}
+    assert kept == want and 40 < len(want) < len(texts)

@@ -10,6 +10,9 @@ size. Each fingerprint is compared in its own cell and sent to half of the neigh
 cell with many fingerprints is split into tiles of bounded size. A tile returns a spanning forest of its links, never all
 pairs, and components are joined by alternating large and small stars, with a checkpoint each round.
 
+With a similarity threshold fingerprints only find candidates, at a radius with a wide margin, over the distinct shingles of
+each text. The candidates of one component are then linked by exact Jaccard of whole shingle sets.
+
 Cost: cells by population count take about n copies of 21 cells and one hundredth or less of the pairs. Cells by length
 leave a share of all pairs, so that mode grows with the square of the distinct fingerprints of a length.
 
@@ -22,7 +25,7 @@ pass through `drop_near_duplicates`, and are not read elsewhere.
 from __future__ import annotations
 
 import itertools
-from math import acos, floor, pi
+from math import acos, ceil, floor, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -39,6 +42,11 @@ PARTS = 4
 #: Distinct fingerprints of a tile: a 64th of the largest cell, within these bounds.
 LEAST_TILE, MOST_TILE = 1 << 12, 1 << 19
 FLUSH = 1 << 15  # visitors compared at a time
+#: Standard deviations of the differing bits by which the candidates' radius exceeds what is expected at the threshold.
+MARGIN = 7
+#: Candidates, and shingles of candidates, of a tile in which sets are compared.
+SET_ROWS, SET_SHINGLES = 1 << 11, 1 << 21
+SET_JOIN_ROWS = 200_000  # up to so many candidates are broadcast to their texts
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,7 +77,11 @@ def _majority(hashes: np.ndarray) -> int:
 
 def fingerprint(text: str, size: int, words: int = 1) -> list[int]:
     """`words` numbers of 64 bits; the second and later ones mix the same hashes anew."""
-    hashes, out = shingle_hashes(text, size), []
+    return mixed(shingle_hashes(text, size), words)
+
+
+def mixed(hashes: np.ndarray, words: int) -> list[int]:
+    out = []
     for k in range(words):
         if k:
             with np.errstate(over="ignore"):
@@ -97,6 +109,24 @@ def fingerprints(texts: Column, size: int = 3, words: int = 1) -> Column:
     return F.pandas_udf(measure, kind)(texts.cast("string"))
 
 
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text or "", size))
+
+
+def set_fingerprints(texts: Column, size: int, words: int) -> Column:
+    """A struct f0, f1, ..., n, id: fingerprint and number of the distinct shingles of a text column, and a hash of them all."""
+    kind = ", ".join(f"{f} long" for f in names(words)) + ", n long, id long"
+
+    def measure(text: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in text:
+            own = shingle_set(t, size)
+            rows.append([*mixed(own, words), own.size, xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)])
+        return pd.DataFrame(rows, columns=[*names(words), "n", "id"], dtype="int64")
+
+    return F.pandas_udf(measure, kind)(texts.cast("string"))
+
+
 def count_cells(radius: int) -> tuple[Column, list[int]]:
     """Cell by population count of each quarter, and half of the steps to cells within the radius."""
     cell = F.lit(0)
@@ -117,6 +147,12 @@ def similarity_radius(similarity: float, words: int) -> int:
     return floor(64 * words * acos(2 * similarity / (1 + similarity)) / pi + 0.5)
 
 
+def candidate_radius(similarity: float, words: int) -> int:
+    """The expected bits and a margin above them, so that chance loses no pair of this similarity."""
+    bits, apart = 64 * words, similarity_radius(similarity, words)
+    return apart + ceil(MARGIN * sqrt(apart * (1 - apart / bits)))
+
+
 def _forest(home: np.ndarray, visitors: np.ndarray, radius: int, within: bool):
     """Links of a spanning forest between rows of home and visitors (or among home), as two arrays of numbers.
 
@@ -140,6 +176,8 @@ def _forest(home: np.ndarray, visitors: np.ndarray, radius: int, within: bool):
             part = order[at : at + 1024]
             yield rows[part], part + base, int(weight[part[0]]), int(weight[part[-1]])
 
+    # two words leave few pairs for the others, unless the radius is near the 64 bits that differ by chance
+    dense = min(2 if radius < 48 else 3, home.shape[1])
     tiles = list(ordered(home, 0))
     others = tiles if within else list(ordered(visitors, len(home)))
     for i, (a, na, low_a, high_a) in enumerate(tiles):
@@ -147,10 +185,10 @@ def _forest(home: np.ndarray, visitors: np.ndarray, radius: int, within: bool):
             if low_b - high_a > radius or low_a - high_b > radius:
                 continue
             apart = np.bitwise_count(a[:, 0][:, None] ^ b[:, 0][None, :])
-            if a.shape[1] > 1:
-                apart += np.bitwise_count(a[:, 1][:, None] ^ b[:, 1][None, :])
+            for k in range(1, dense):
+                apart += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
             x, y = np.nonzero(apart <= radius)
-            if a.shape[1] > 2:  # two words leave few pairs for the others
+            if a.shape[1] > dense:
                 near = np.bitwise_count(a[x] ^ b[y]).sum(1, dtype=np.int64) <= radius
                 x, y = x[near], y[near]
             if within and a is b:
@@ -270,14 +308,85 @@ def components(found: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def groups(prints: DataFrame, words: int, radius: int, similarity: float | None = None, tile: int | None = None) -> DataFrame:
+def set_forest(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest between sets (of distinct numbers) of at least this Jaccard similarity."""
+    sizes = np.array([s.size for s in sets], np.int64)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, token = np.unique(np.concatenate(sets), return_inverse=True)
+    alone = np.ones(len(sets), bool)  # not yet in a tree
+    left, right = [], []
+
+    def postings():
+        keep = alone[owner]
+        order = np.argsort(token[keep], kind="stable")
+        return owner[keep][order], np.concatenate([[0], np.cumsum(np.bincount(token[keep], minlength=len(values)))])
+
+    who, at = postings()
+    held = rest = len(sets)
+    for start in range(len(sets)):
+        if not alone[start]:
+            continue
+        alone[start] = False
+        rest -= 1
+        reached = [start]
+        while reached and rest:
+            if rest * 2 < held:  # lists of those in trees only cost time
+                (who, at), held = postings(), rest
+            x = reached.pop()
+            own = token[begin[x] : begin[x + 1]]
+            many = at[own + 1] - at[own]
+            places = np.arange(many.sum()) + np.repeat(at[own] - (np.cumsum(many) - many), many)
+            common = np.bincount(who[places], minlength=len(sets))
+            found = np.flatnonzero(alone & (common > 0))
+            found = found[common[found] / (sizes[found] + sizes[x] - common[found]) >= similarity]
+            alone[found] = False
+            rest -= len(found)
+            reached.extend(found.tolist())
+            left.extend([x] * len(found))
+            right.extend(found.tolist())
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def set_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Spanning links (a, b) between the similar sets of a candidate group. sets: id, root, n, checkpointed; shingles."""
+    sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    tiles = F.greatest(F.ceil(F.col("rows") / F.lit(SET_ROWS)), F.ceil(F.col("shingles") / F.lit(SET_SHINGLES))).cast("int")
+    rows = sets.join(sizes.select("root", tiles.alias("tiles")), "root").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    # each two tiles of a group meet, and with them all rows of either
+    others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: (k != F.col("tile")) | (F.col("tiles") == 1))
+    met = rows.select("root", "id", "shingles", "tile", F.explode(others).alias("other"))
+    met = met.select("root", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "id", "shingles")
+
+    def compare(batches):
+        def linked(held):
+            ids = np.array([i for i, _ in held], np.int64)
+            a, b = set_forest([s for _, s in held], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+        key, held = None, []
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
+            for k, (now, i) in enumerate(zip(keys, batch.column(3).to_pylist(), strict=True)):
+                if now != key:
+                    if len(held) > 1:
+                        yield linked(held)
+                    key, held = now, []
+                held.append((i, np.frombuffer(batch.column(4)[k].as_py(), np.uint64)))
+        if len(held) > 1:
+            yield linked(held)
+
+    dealt = met.repartition(2 * partitions(sets.sparkSession), "root", "x", "y").sortWithinPartitions("root", "x", "y")
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def groups(prints: DataFrame, words: int, radius: int, tile: int | None = None) -> DataFrame:
     """prints: doc_id, f0, ..., n, checkpointed. Adds component_id, the smallest doc_id reachable by links."""
-    f = names(words)
-    same = [*f, "n"] if similarity else f
+    same = names(words)
     distinct = prints.groupBy(*same).agg(F.min("doc_id").alias("least"))
     # the number of a distinct fingerprint: itself where it fits a long, else a 64-bit hash of it
     distinct = distinct.withColumn("id", F.xxhash64(*same) if len(same) > 1 else F.col("f0"))
-    cell, steps = size_cells(similarity) if similarity else count_cells(radius)
+    cell, steps = count_cells(radius)
     distinct = checkpointed(distinct)
     joined = components(links(distinct, cell, steps, words, radius, tile))
     roots = distinct.join(joined, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
@@ -299,19 +408,30 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> Dat
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, words: int = 4) -> DataFrame:
     """One document of each group of similar texts: that of the smallest id. Whole rows as they came.
 
-    Fingerprints of 64 * words bits are linked where as few bits differ as sets of this Jaccard similarity are expected to.
+    Texts are linked whose sets of shingles have at least this Jaccard similarity; texts without words are alike.
     """
     f = names(words)
-    mine = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("i"), F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]).alias("h"))
-    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mine.alias("mine"), fingerprints(F.col("text"), size, words).alias("p"))
-    prints = checkpointed(prints.select("doc_id", "mine", "p.*"))
-    # of one fingerprint only the smallest row can stay
-    same = prints.groupBy(*f, "n", "mine").agg(F.count(F.lit(1)).alias("rows"))
-    light = same.groupBy(*f, "n").agg(F.min(F.struct("mine", "rows")).alias("m")).select(*f, "n", "m.mine", "m.rows", F.col("m.mine.i").alias("doc_id"))
-    grouped = groups(checkpointed(light), words, similarity_radius(similarity, words), similarity)
+    row = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
+    mine = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("i"), row.alias("h"))
+    prints = docs.select(mine.alias("mine"), set_fingerprints(F.col("text"), size, words).alias("p"))
+    prints = checkpointed(prints.select("mine", "p.*"))
+    # of one set only the smallest row can stay
+    same = prints.groupBy("id", *f, "n", "mine").agg(F.count(F.lit(1)).alias("rows"))
+    light = same.groupBy("id", *f, "n").agg(F.min(F.struct("mine", "rows")).alias("m")).select("id", *f, "n", "m.mine", "m.rows")
+    light = checkpointed(light)
+    keyed = docs.withColumns({"_own_i": F.col("doc_id").cast("long"), "_own_h": row})
+    cell, steps = size_cells(similarity)
+    near = components(links(light, cell, steps, words, candidate_radius(similarity, words)))
+    near = checkpointed(near.join(light, F.col("node") == F.col("id")).select("root", "id", "n", F.col("mine.i").alias("at_i"), F.col("mine.h").alias("at_h")))
+    keys = F.broadcast(near) if near.count() <= SET_JOIN_ROWS else near
+    shingles = F.pandas_udf(lambda text: text.map(lambda t: shingle_set(t, size).tobytes()), "binary")
+    texts = keyed.select("_own_i", "_own_h", F.col("text").cast("string").alias("_own_text"))
+    texts = texts.join(keys, F.col("_own_i").eqNullSafe(F.col("at_i")) & (F.col("_own_h") == F.col("at_h")))
+    sets = texts.select("root", "id", "n", shingles("_own_text").alias("shingles")).dropDuplicates(["id"])
+    joined = components(set_links(checkpointed(sets), similarity))
+    grouped = light.join(joined, F.col("id") == F.col("node"), "left").withColumn("component_id", F.coalesce("root", "id"))
     kept = grouped.groupBy("component_id").agg(F.min(F.struct("mine", "rows")).alias("m"))
     kept = checkpointed(kept.select(F.col("m.mine.i").alias("_own_i"), F.col("m.mine.h").alias("_own_h"), F.col("m.rows").alias("_own_rows")))
-    keyed = docs.withColumns({"_own_i": F.col("doc_id").cast("long"), "_own_h": F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])})
 
     def staying(keys: DataFrame) -> DataFrame:
         return keyed.join(keys, keyed["_own_i"].eqNullSafe(keys["_own_i"]) & (keyed["_own_h"] == keys["_own_h"]), "left_semi")
