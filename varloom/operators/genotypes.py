@@ -13,6 +13,8 @@ from varloom.sources.header import FIXED
 
 #: The list column of frames with very many samples.
 LISTED = "_samples"
+#: With more samples than this a frame has them in one list column, in header order: thousands of columns make plans slow.
+WIDE = 200
 
 
 def samples_of(frame: DataFrame) -> list[str]:
@@ -47,15 +49,39 @@ def sample_names(frame: DataFrame) -> DataFrame:
     return frame.select("sample").distinct()
 
 
-def add_genotypes(variants: DataFrame, long: DataFrame, samples: list[str], how: str = "left") -> DataFrame:
-    """One row per variant with `{sample}_{key}` columns: one pivot and one join, however many samples.
+def sample_lists(long: DataFrame, samples: list[str]) -> DataFrame:
+    """id and one list with a place for each sample: a struct of the genotype's columns, null where there is none.
 
-    Of repeated rows of a variant and sample the largest value of each key counts, so the result doesn't depend on row order.
+    Of repeated rows of a variant and sample the largest counts, by its columns in order, whole: a genotype that was measured.
+    The plan has the same size for any number of samples, and tasks send known genotypes only.
+    """
+    spark = long.sparkSession
+    keys = [F.col(f"`{c}`") for c in long.columns if c not in ("id", "sample")]
+    # as many rows as a VCF has columns
+    places = F.broadcast(spark.createDataFrame([(s, k) for k, s in enumerate(samples)], "sample string, _at int"))
+    rows = long.join(places, "sample").groupBy("id", "_at").agg(F.max(F.struct(*keys)).alias("g"))
+    known = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_at", "g"))).alias("known"))
+    none = F.lit(None).cast(rows.schema["g"].dataType)
+
+    def placed(entry, k):
+        before = F.when(k > 0, F.get("known", k - 1)["_at"]).otherwise(-1)
+        return F.concat(F.array_repeat(none, entry["_at"] - before - 1), F.array(entry["g"]))
+
+    last = F.element_at("known", -1)["_at"]
+    dense = F.concat(F.flatten(F.transform("known", placed)), F.array_repeat(none, F.lit(len(samples) - 1) - last))
+    return known.select("id", dense.alias(LISTED))
+
+
+def add_genotypes(variants: DataFrame, long: DataFrame, samples: list[str], how: str = "left", wide: int = WIDE) -> DataFrame:
+    """One row per variant with `{sample}_{key}` columns, by one join; more than `wide` samples stay one list column `_samples`.
+
+    Of repeated rows of a variant and sample the largest counts whole, so the result doesn't depend on row order.
     how="full" also keeps genotypes of unknown variants, with empty variant columns.
     """
     names = list(dict.fromkeys(samples))
     keys = [c for c in long.columns if c not in ("id", "sample")]
-    wide = long.where(F.col("sample").isin(names)).groupBy("id").agg(
-        *[F.max(F.when(F.col("sample") == s, F.col(k))).alias(f"{s}_{k}") for s in names for k in keys]
-    )
-    return variants.join(wide, "id", how)
+    joined = variants.join(sample_lists(long, names), "id", how)
+    if len(names) > wide:
+        return joined
+    each = [F.get(LISTED, F.lit(k))[key].alias(f"{s}_{key}") for k, s in enumerate(names) for key in keys]
+    return joined.select(*[F.col(f"`{c}`") for c in joined.columns if c != LISTED], *each)

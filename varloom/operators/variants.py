@@ -31,8 +31,13 @@ def unique_variants(*frames: DataFrame) -> DataFrame:
 
 
 def new_variants(existing: DataFrame, *frames: DataFrame) -> DataFrame:
-    """Variants whose key isn't there yet."""
-    return unique_variants(*frames).join(existing.select(*KEY).distinct(), list(KEY), "left_anti").select(*VARIANT)
+    """Variants whose key isn't there yet; null parts of a key equal each other, as in `unique_variants`.
+
+    What is there needs no distinct for an anti join.
+    """
+    found, there = unique_variants(*frames), existing.select(*[F.col(k).alias(f"_{k}") for k in KEY])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
+    return found.join(there, same[0] & same[1] & same[2] & same[3], "left_anti").select(*VARIANT)
 
 
 def select_chromosome(frame: DataFrame, chromosome: str) -> DataFrame:

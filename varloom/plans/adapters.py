@@ -55,10 +55,15 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     need = NEEDS[name]
     if not need:
         return spark.sql(SQL[name])
-    source = frame(spark, sf_dir, need) if need in SQL else spark.read.parquet(f"{sf_dir.rstrip('/')}/{need}.parquet")
+    source = frame(spark, sf_dir, need) if need in SQL else spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{need}.parquet"))
     return spark.sql(SQL[name].replace(f"FROM {need}", "FROM {source}"), source=source)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that one task would read (a single row group) is dealt out; one of several parts stays as it lies."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() < 2 else df
+
+
 def with_clause(*more: str) -> str:
     """All adapters as common table expressions, and further ones."""
     return "WITH " + ",\n".join([*(f"{name} AS ({sql})" for name, sql in SQL.items()), *more])

@@ -24,14 +24,15 @@ def read_variants(spark: SparkSession, prefix: str) -> DataFrame:
 def merge_variants(spark: SparkSession, paths: list[str], prefix: str, append: bool = False) -> None:
     """De-duplicate the variants of all files into prefix/chr=.../; append adds only those that aren't there.
 
-    One exchange for the key; a rebalance by chromosome splits large ones into several files.
+    Without append the whole table is replaced, whatever the session's overwrite mode is. One exchange for the key; a rebalance by chromosome splits large ones into several files.
     """
     found = unique_variants(spark.read.parquet(*paths))
     there = append and _exists(spark, prefix)
     if there:
         found = new_variants(read_variants(spark, prefix), found)
     dealt = found.hint("rebalance", F.col("chr"))
-    dealt.write.mode("append" if there else "overwrite").option("maxRecordsPerFile", RECORDS_PER_FILE).partitionBy("chr").parquet(prefix)
+    writer = dealt.write.mode("append" if there else "overwrite").option("maxRecordsPerFile", RECORDS_PER_FILE)
+    writer.option("partitionOverwriteMode", "static").partitionBy("chr").parquet(prefix)
 
 
 def hive_genotypes(spark: SparkSession, paths: list[str], prefix: str, append: bool = False, number_of_bits: int = 8) -> None:

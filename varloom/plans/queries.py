@@ -48,10 +48,12 @@ def long_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genotypes(with_ids(spark, sf_dir), HEADER.format_parser(), samples=SAMPLES)
 
 
+def annotation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ids.add_variant_id(adapters.frame(spark, sf_dir, "a_annotations"), contigs(spark, sf_dir), GENOME_LENGTH)
+
+
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = adapters.frame(spark, sf_dir, "a_annotations")
-    frame = ids.add_variant_id(frame, contigs(spark, sf_dir), GENOME_LENGTH)
-    return annotations(frame, HEADER, {"ALLELEID", "AF_ESP", "CLNSIG", "GENEINFO"})
+    return annotations(annotation_ids(spark, sf_dir), HEADER, {"ALLELEID", "AF_ESP", "CLNSIG", "GENEINFO"})
 
 
 def joined(items: Column) -> Column:
@@ -93,14 +95,14 @@ def genome_length(spark, sf_dir):
 
 
 def unique_variants_query(spark, sf_dir):
-    frame = with_ids(spark, sf_dir)
-    return unique_variants(frame.where("pos % 2 = 0"), frame.where("pos % 3 = 0"))
+    """The variants of two files, most of the second's in the first too."""
+    return unique_variants(with_ids(spark, sf_dir), annotation_ids(spark, sf_dir))
 
 
 def merge_append(spark, sf_dir):
-    frame = variants(with_ids(spark, sf_dir))
-    there = unique_variants(frame.where("pos % 2 = 0"))
-    return there.unionByName(new_variants(there, frame.where("pos % 3 = 0")))
+    """The variants of the larger file added to those of the smaller."""
+    there = unique_variants(annotation_ids(spark, sf_dir))
+    return there.unionByName(new_variants(there, with_ids(spark, sf_dir)))
 
 
 def variants_by_chr_count(spark, sf_dir):
@@ -168,14 +170,14 @@ def _transmission(found: DataFrame) -> DataFrame:
 
 def _trio(mother: str | None, father: str | None) -> Query:
     def query(spark, sf_dir):
-        found = long_genotypes(spark, sf_dir).select("id", "sample", "gt", "dp").where("id IS NOT NULL")
+        found = long_genotypes(spark, sf_dir).select("id", "sample", "gt", "dp")
         return _transmission(transmission(found, "s0", mother, father))
 
     return query
 
 
 def transmission_from_ped(spark, sf_dir):
-    found = long_genotypes(spark, sf_dir).select("id", "sample", "gt", "dp").where("id IS NOT NULL")
+    found = long_genotypes(spark, sf_dir).select("id", "sample", "gt", "dp")
     return _transmission(transmission_ped(found, adapters.frame(spark, sf_dir, "a_pedigree")))
 
 
@@ -212,14 +214,14 @@ def region_lookup(spark, sf_dir):
 
 
 def vcf_names() -> RowNames:
-    return RowNames(info=[("AF", "AF"), ("AC", "AC"), ("GENE", "GENE")], format="GT:DP", sample={s: {"GT": f"{s}_gt", "DP": f"{s}_dp"} for s in ("s0", "s1")})
+    return RowNames(info=[("AF", "AF"), ("AC", "AC"), ("GENE", "GENE")], format="GT:DP", sample={s: {"GT": f"{s}_gt", "DP": f"{s}_dp"} for s in SAMPLES})
 
 
 def _for_vcf(spark, sf_dir):
     info = HEADER.info_parser({"AC", "GENE"})
     af = fields.info_field(F.col("info"), "AF", "1", "Integer").alias("AF")
-    frame = with_ids(spark, sf_dir).where("id IS NOT NULL").select("id", "chr", "pos", "ref", "alt", af, *info)
-    return add_genotypes(frame, long_genotypes(spark, sf_dir).select("id", "sample", "gt", "dp"), ["s0", "s1"])
+    frame = with_ids(spark, sf_dir).select("id", "chr", "pos", "ref", "alt", af, *info)
+    return add_genotypes(frame, long_genotypes(spark, sf_dir).select("id", "sample", "gt", "dp"), SAMPLES)
 
 
 def vcf_body(spark, sf_dir):
@@ -290,13 +292,14 @@ def _base() -> str:
     parts = ", ".join(f"string_split(value, ':')[{k}] AS {n}" for k, n in ((1, "g"), (2, "ad"), (3, "dp"), (4, "gq")))
     unions = " UNION ALL ".join(f"SELECT id, '{s}' AS sample, {s} AS value FROM v WHERE format LIKE 'GT:AD:DP:GQ%'" for s in SAMPLES)
     g = f"SELECT id, sample, {_GT} AS gt, ad, TRY_CAST(dp AS BIGINT) AS dp, TRY_CAST(gq AS BIGINT) AS gq FROM (SELECT id, sample, {parts} FROM ({unions}) u) w WHERE {_GT} <> 0"
-    typed = f"SELECT id, CAST({_info('ALLELEID')} AS BIGINT) AS ALLELEID, CAST({_info('AF_ESP')} AS DOUBLE) AS AF_ESP, {_info('CLNSIG')} AS CLNSIG, {_info('GENEINFO')} AS GENEINFO FROM (SELECT * FROM ({a}) x) y"
-    return adapters.with_clause(f"v AS ({v})", f"g AS ({g})", f"a AS ({typed})")
+    typed = f"SELECT id, CAST({_info('ALLELEID')} AS BIGINT) AS ALLELEID, CAST({_info('AF_ESP')} AS DOUBLE) AS AF_ESP, {_info('CLNSIG')} AS CLNSIG, {_info('GENEINFO')} AS GENEINFO FROM w"
+    # computed once each: they are joined with themselves
+    return adapters.with_clause(f"v AS MATERIALIZED ({v})", f"g AS MATERIALIZED ({g})", f"w AS MATERIALIZED ({a})", f"a AS MATERIALIZED ({typed})")
 
 
 def _trio_sql(mother: str | None, father: str | None) -> str:
     def own(s: str | None) -> str:
-        return f"(SELECT id, gt, dp FROM g WHERE sample = '{s}' AND id IS NOT NULL)" if s else "(SELECT id, gt, dp FROM g WHERE false)"
+        return f"(SELECT id, gt, dp FROM g WHERE sample = '{s}')" if s else "(SELECT id, gt, dp FROM g WHERE false)"
 
     def gt(p: str, named: str | None) -> str:
         return f"coalesce({p}.gt, 0)" if named else "CAST(NULL AS INT)"
@@ -317,12 +320,14 @@ def oracle_sql() -> dict[str, str]:
     unsigned = "CASE WHEN id < 0 THEN CAST(CAST(id AS HUGEINT) + 18446744073709551616 AS VARCHAR) ELSE CAST(id AS VARCHAR) END"
     sample = {s: f"concat_ws(':', CASE {s}_gt WHEN 1 THEN '0/1' WHEN 2 THEN '1/1' ELSE coalesce(CAST({s}_gt AS VARCHAR), './.') END, coalesce(CAST({s}_dp AS VARCHAR), '.'))" for s in SAMPLES}
     wide = ", ".join(f"max({k}) FILTER (WHERE sample = '{s}') AS {s}_{k}" for s in SAMPLES for k in ("gt", "dp"))
+    # of repeated rows of a variant and sample the one with the largest gt, then dp, whole
+    once = "(SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY id, sample ORDER BY gt DESC NULLS LAST, dp DESC NULLS LAST) = 1)"
     wides = ", ".join(f"{s}_{k}" for s in SAMPLES for k in ("gt", "dp"))
     body = (
-        f"SELECT concat_ws(chr(9), chr_, CAST(pos AS VARCHAR), {unsigned}, ref, alt, '.', '.', "
+        f"SELECT concat_ws(chr(9), chr_, CAST(pos AS VARCHAR), coalesce({unsigned}, '.'), ref, alt, '.', '.', "
         f"concat_ws(';', concat('AF=', coalesce({_info('AF')}, '.')), concat('AC=', coalesce({_info('AC')}, '.')), concat('GENE=', coalesce({_info('GENE')}, '.'))), "
-        f"'GT:DP', {sample['s0']}, {sample['s1']}) AS line FROM (SELECT v.id, v.chr AS chr_, pos, ref, alt, info, {wides} FROM v "
-        f"LEFT JOIN (SELECT id, {wide} FROM g GROUP BY id) w ON v.id = w.id WHERE v.id IS NOT NULL) z"
+        f"'GT:DP', {', '.join(sample.values())}) AS line FROM (SELECT v.id, v.chr AS chr_, pos, ref, alt, info, {wides} FROM v "
+        f"LEFT JOIN (SELECT id, {wide} FROM {once} o GROUP BY id) x ON v.id = x.id) z"
     )
     ann = ", ".join(
         f"concat('{n[:3]}', CAST(pos % {k + 2} AS VARCHAR)) AS {n}" if k < len(fields.ANN_FIELDS) - 1 else f"CAST(NULL AS VARCHAR) AS {n}"
@@ -337,8 +342,8 @@ def oracle_sql() -> dict[str, str]:
         "id_partition_9": f"SELECT id, {part.format(511, 54)} AS id_part FROM v",
         "contig_offsets": "SELECT contig, length, contig_offset FROM a_contigs",
         "genome_length": "SELECT CAST(sum(length) AS BIGINT) AS genome_length, count(*) AS n_contigs FROM a_contigs",
-        "unique_variants": f"{distinct} WHERE pos % 2 = 0 OR pos % 3 = 0",
-        "merge_append": f"{distinct} WHERE pos % 2 = 0 OR pos % 3 = 0",
+        "unique_variants": f"{distinct} UNION SELECT id, chr, pos, ref, alt FROM w",
+        "merge_append": f"{distinct} UNION SELECT id, chr, pos, ref, alt FROM w",
         "variants_by_chr_count": "SELECT chr, count(*) AS n_variants FROM a_vcf GROUP BY chr",
         "select_chromosome": "SELECT id, chr, pos, ref, alt FROM v WHERE chr = 'chr7'",
         "null_ids": "SELECT count(*) FILTER (WHERE id IS NULL) AS n_null, count(*) FILTER (WHERE id < 0) AS n_long FROM v",
@@ -350,7 +355,7 @@ def oracle_sql() -> dict[str, str]:
         "info_select": f"SELECT {_info('GENE')} AS GENE, count(*) AS n FROM a_vcf GROUP BY 1",
         "annotation_columns": "SELECT id, ALLELEID, AF_ESP, CLNSIG, GENEINFO FROM a",
         "genotypes_long": "SELECT id, sample, gt, ad, dp, gq FROM g",
-        "genotypes_wide": f"SELECT v.id, chr, pos, {wides} FROM v LEFT JOIN (SELECT id, {wide} FROM g GROUP BY id) w ON v.id = w.id",
+        "genotypes_wide": f"SELECT v.id, chr, pos, {wides} FROM v LEFT JOIN (SELECT id, {wide} FROM {once} o GROUP BY id) x ON v.id = x.id",
         "sample_counts": "SELECT sample, gt, count(*) AS n FROM g GROUP BY sample, gt",
         "transmission_trio": _trio_sql("s1", "s2"),
         "transmission_no_father": _trio_sql("s1", None),

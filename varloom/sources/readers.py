@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 from varloom.errors import NoContigsLengthInformationError, NotAVariantCsvError, NotAVCFError, NotVcfHeaderError
 from varloom.functions.ids import add_variant_id
+from varloom.operators.genotypes import LISTED, WIDE
 from varloom.sources.contigs import ContigsLength
 from varloom.sources.header import FIXED, VcfHeader, head_lines
 
 PED = "family_id string, personal_id string, father_id string, mother_id string, sex string, affected string"
-#: With more samples than this a frame has them in one list column, in header order: thousands of columns make plans slow.
-WIDE = 200
-SAMPLES = "_samples"
 
 
 @dataclass
@@ -44,12 +42,12 @@ def read_vcf(spark: SparkSession, path: str, contigs_path: str | None = None, dr
     if not contigs.rows:
         raise NoContigsLengthInformationError
     many = len(samples or ())
-    names = [*FIXED, *(["format", *([SAMPLES] if many > wide else samples)] if many else [])]
+    names = [*FIXED, *(["format", *([LISTED] if many > wide else samples)] if many else [])]
     if many > wide:
         parts = F.split("value", "\t")
         body = spark.read.text(path).where(~F.col("value").startswith("#"))
         fixed = [F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(names[:-1])]
-        frame = body.select(*fixed, F.slice(parts, len(names), many).alias(SAMPLES))
+        frame = body.select(*fixed, F.slice(parts, len(names), many).alias(LISTED))
     else:
         schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
         frame = spark.read.csv(path, schema=schema, sep="\t", comment="#", header=False, quote="", escape="", ignoreLeadingWhiteSpace=False)
