@@ -3,21 +3,26 @@
 A turn's text is plain, or JSON: an object with `tool_calls` (a list of id, name, arguments) makes calls, one with
 `tool_call_id` is a result. Results are joined with calls by (conversation, identifier). Parts are ordered topologically:
 a result follows its call, and a call whose arguments hold {"$ref": id} follows that call's result. Arguments are validated
-against a JSON schema for each tool. Every part becomes one line of canonical JSON (sorted keys, no blanks, UTF-8).
+against a JSON schema for each tool. Every part becomes one line of canonical JSON (sorted keys, no blanks, no NaN).
 
 One row for each part comes back, with its place as sort columns; a conversation is never gathered in one task, so one
-conversation may hold any share of the rows.
+conversation may hold any share of the rows. Calls are peeled: a call whose references are all placed is placed behind them.
+Only calls that refer or are referred to take part, as numbers. Conversations with up to GROUP of these are peeled in one task
+each; larger ones by joins, a step for each link of the longest chain. What can never be peeled is on or behind a cycle.
 
-Nulls and edges: a null or empty text is a plain part with empty content; a null role is `user`. Broken JSON and JSON of
-another form are plain. Null conversation ids and identifiers link to nothing. Of calls that repeat an identifier the first
-by turn, part and content counts, others are `duplicate`; a result without call is `orphan`, a call without result
-`unanswered`, a call that fails its schema `invalid`, and parts of a cycle of references `cycle`. Repeated rows and ties come
-back each. An empty table gives an empty result. Extra columns are not read.
+Nulls and edges: a null or empty text is a plain part with empty content; a null role is `user`. Broken JSON, JSON of another
+form, and JSON with numbers that JSON doesn't know or nesting beyond DEPTH are plain. Lone surrogates become U+FFFD. Null
+conversation ids and identifiers link to nothing. Of calls that repeat an identifier the first by turn, part and content
+counts, others are `duplicate`; a result without call is `orphan`, a call without result `unanswered`, a call that fails its
+schema or whose tool has none `invalid`, and calls on or behind a cycle of references, with their results, `cycle`. A
+reference to no call of the conversation holds nothing up. Repeated rows and ties come back each. Very long texts are one
+part. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,26 +34,72 @@ PARTS = (
     "conv_id long, turn long, part int, role string, kind string, call_id string, name string, error string, refs array<string>, "
     "body string"
 )
-ROUNDS = 40
+#: Deeper JSON is plain text.
+DEPTH = 200
+#: Calls and references (some 100 bytes each in Python) of a conversation that one task peels.
+GROUP = 200_000
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+def _refuse(text: str):
+    raise ValueError(f"{text} isn't JSON")
+
+
+def loaded(text: str):
+    """The value of a JSON text. ValueError: broken, deeper than DEPTH, or with numbers that JSON cannot hold."""
+    depth = deepest = 0
+    quoted = escaped = False
+    for c in text if text.count("[") + text.count("{") > DEPTH else "":
+        if quoted:
+            quoted, escaped = escaped or c != '"', c == "\\" and not escaped
+        elif c == '"':
+            quoted = True
+        elif c in "[{":
+            depth += 1
+            deepest = max(deepest, depth)
+        elif c in "]}":
+            depth -= 1
+    if deepest > DEPTH:
+        raise ValueError("too deep")
+
+    def finite(number: str) -> float:
+        value = float(number)
+        return value if math.isfinite(value) else _refuse(number)
+
+    return json.loads(text, parse_constant=_refuse, parse_float=finite)  # int() itself refuses integers of thousands of digits
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return clean(text)
+
+
+def clean(text: str) -> str:
+    """Lone surrogates cannot be written as UTF-8."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def same(a, b) -> bool:
+    """Equal as JSON: true isn't 1."""
+    return canonical(a) == canonical(b)
+
+
+def _is(value, kind: str) -> bool:
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    if kind == "number":
+        return number
+    if kind == "integer":
+        return number and (isinstance(value, int) or value.is_integer())
+    return isinstance(value, _TYPES.get(kind, object))
 
 
 def violation(value, schema: dict, where: str = "$") -> str | None:
     """The first way in which the value fails the schema: type, enum, required, properties, additionalProperties, items."""
     kinds = schema.get("type", [])
     kinds = [kinds] if isinstance(kinds, str) else kinds
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = any(
-        number and (k == "number" or k == "integer" and float(value).is_integer()) if k in ("number", "integer") else isinstance(value, _TYPES.get(k, object))
-        for k in kinds
-    )
-    if kinds and not fits:
+    if kinds and not any(_is(value, k) for k in kinds):
         return f"{where}: not {'/'.join(kinds)}"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
         return f"{where}: not in enum"
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -70,18 +121,22 @@ def violation(value, schema: dict, where: str = "$") -> str | None:
 
 def references(value) -> set[str]:
     if isinstance(value, dict):
-        own = {value["$ref"]} if isinstance(value.get("$ref"), str) else set()
+        own = {clean(value["$ref"])} if isinstance(value.get("$ref"), str) else set()
         return own.union(*map(references, value.values()))
     return set().union(*map(references, value)) if isinstance(value, list) else set()
 
 
-def read_turn(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[tuple]:
-    """(role, kind, call_id, name, error, refs, body) of each part; body is canonical JSON."""
-    role, text = role or "user", text or ""
+def _text_or_none(value) -> str | None:
+    return clean(value) if isinstance(value, str) else None
+
+
+def read_turn(role: str | None, text: str | None, schemas: dict[str, dict] | None) -> list[tuple]:
+    """(role, kind, call_id, name, error, refs, body) of each part; body is canonical JSON. schemas None: nothing is validated."""
+    role, text = clean(role or "user"), text or ""
     value = None
     if text.lstrip()[:1] == "{":
         try:
-            value = json.loads(text)
+            value = loaded(text)
         except (ValueError, RecursionError):
             value = None
     if isinstance(value, dict) and isinstance(value.get("tool_calls"), list) and all(isinstance(c, dict) for c in value["tool_calls"]):
@@ -90,81 +145,147 @@ def read_turn(role: str | None, text: str | None, schemas: dict[str, dict]) -> l
             parts.append((role, "message", None, None, None, [], canonical({"content": value["content"], "role": role})))
         for call in value["tool_calls"]:
             call = call | call["function"] if isinstance(call.get("function"), dict) else call
-            name, args, error = call.get("name"), call.get("arguments", {}), None
+            name, args, error = _text_or_none(call.get("name")), call.get("arguments", {}), None
             if isinstance(args, str):
                 try:
-                    args = json.loads(args)
+                    args = loaded(args)
                 except (ValueError, RecursionError):
                     error = "$: not JSON"
-            if error is None and schemas:
+            if error is None and schemas is not None:
                 error = violation(args, schemas[name]) if name in schemas else "unknown tool"
-            own = call.get("id") if isinstance(call.get("id"), str) else None
+            own = _text_or_none(call.get("id"))
             body = canonical({"role": role, "tool_call": {"arguments": args, "id": own, "name": name}})
-            parts.append((role, "call", own, name if isinstance(name, str) else None, error, sorted(references(args)), body))
+            parts.append((role, "call", own, name, error and clean(error), sorted(references(args)), body))
         return parts or [(role, "message", None, None, None, [], canonical({"content": "", "role": role}))]
     if isinstance(value, dict) and isinstance(value.get("tool_call_id"), str):
-        body = canonical({"content": value.get("content"), "role": "tool", "tool_call_id": value["tool_call_id"]})
-        return [("tool", "result", value["tool_call_id"], None, None, [], body)]
+        own = clean(value["tool_call_id"])
+        return [("tool", "result", own, None, None, [], canonical({"content": value.get("content"), "role": "tool", "tool_call_id": own}))]
     return [(role, "message", None, None, None, [], canonical({"content": text, "role": role}))]
 
 
 def parts(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
+    names = [c.split()[0] for c in PARTS.split(", ")]
+
     def read(batches):
         for batch in batches:
             out = []
             for conv, turn, role, text in zip(*(batch[c].astype(object).where(batch[c].notna(), None) for c in batch), strict=True):
-                for k, part in enumerate(read_turn(role, text, schemas or {})):
+                for k, part in enumerate(read_turn(role, text, schemas)):
                     out.append((conv, turn, k, *part))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PARTS.split(", ")])
+            yield pd.DataFrame(out, columns=names)
+
+    kinds = {"conv_id": "long", "turn": "long", "role": "string", "text": "string"}
+    return conversations.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()]).mapInPandas(read, PARTS)
+
+
+def peeled(turns: list[int], results: list[int | None], wants: list[list[int]]) -> list[tuple[int, int] | None]:
+    """(place, depth) of each call, None on or behind a cycle. wants: the numbers of the calls that each refers to.
 
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(read, PARTS)
+    A result stands at the later of its own turn and its call's place, and whoever refers to the call behind that.
+    """
+    users: list[list[int]] = [[] for _ in turns]
+    for k, refs in enumerate(wants):
+        for r in refs:
+            users[r].append(k)
+    left, placed = [len(refs) for refs in wants], [None] * len(turns)
+    ready = [k for k, n in enumerate(left) if not n]
+    while ready:
+        k = ready.pop()
+        at, depth = turns[k], 0
+        for r in wants[k]:
+            before, deep = placed[r]
+            at, depth = max(at, before, before if results[r] is None else results[r]), max(depth, deep + 2)
+        placed[k] = (at, depth)
+        for user in users[k]:
+            left[user] -= 1
+            if not left[user]:
+                ready.append(user)
+    return placed
 
 
-def link(found: DataFrame) -> DataFrame:
+def _peel_group(rows: pd.DataFrame) -> pd.DataFrame:
+    number = {h: k for k, h in enumerate(rows["h"].tolist())}
+    results = [None if pd.isna(r) else int(r) for r in rows["result_turn"]]
+    wants = [[] if refs is None else [number[r] for r in refs] for refs in rows["refs"]]
+    placed = [p or (None, None) for p in peeled(rows["call_turn"].tolist(), results, wants)]
+    return pd.DataFrame({"conv_id": rows["conv_id"], "h": rows["h"], "at": pd.array([p[0] for p in placed], "Int64"), "depth": pd.array([p[1] for p in placed], "Int64")})
+
+
+def _peel_steps(calls: DataFrame) -> DataFrame:
+    """The same by joins, for conversations of any size."""
+    spark, key = calls.sparkSession, ["conv_id", "h"]
+    wait = written(calls.select(*key, F.explode("refs").alias("ref")))
+    # for calls that wait: the latest end and greatest depth of what was placed before them
+    seen = spark.createDataFrame([], "conv_id long, h long, end long, deep long")
+    new = written(calls.where("refs IS NULL").select(*key, "result_turn", F.col("call_turn").alias("at"), F.lit(0).cast("long").alias("depth")))
+    out = spark.createDataFrame([], "conv_id long, h long, at long, depth long")
+    while not new.isEmpty():
+        out = out.union(new.select(*key, "at", "depth"))
+        ends = new.select("conv_id", F.col("h").alias("ref"), F.greatest("at", F.coalesce("result_turn", "at")).alias("end"), (F.col("depth") + 2).alias("deep"))
+        hit = wait.join(ends, ["conv_id", "ref"]).select(*key, "end", "deep")
+        reached = written(seen.union(hit).groupBy(*key).agg(F.max("end").alias("end"), F.max("deep").alias("deep")), replaces=seen)
+        wait = written(wait.join(ends, ["conv_id", "ref"], "left_anti").select(*key, "ref"), replaces=wait)
+        free = reached.join(wait.select(*key).distinct(), key, "left_anti").join(calls, key)
+        new = written(free.select(*key, "result_turn", F.greatest("call_turn", "end").alias("at"), F.col("deep").alias("depth")))
+        seen = written(reached.join(new.select(*key), key, "left_anti"), replaces=reached)
+    return checkpointed(out)
+
+
+def _placed(calls: DataFrame, group: int) -> DataFrame:
+    """conv_id, h, at, depth of calls that refer or are referred to; at is null on or behind a cycle. calls: with refs."""
+    key = ["conv_id", "h"]
+    wants = calls.select(*key, F.explode(F.array_distinct(F.transform("refs", lambda r: F.xxhash64(r)))).alias("ref"))
+    # references to no call of the conversation hold nothing up
+    wants = checkpointed(wants.join(calls.select("conv_id", F.col("h").alias("ref")), ["conv_id", "ref"]).select(*key, "ref"))
+    grouped = wants.groupBy(*key).agg(F.collect_list("ref").alias("refs"))  # as many as one text holds
+    users = wants.select("conv_id", F.col("ref").alias("h")).distinct().withColumn("used", F.lit(True))
+    tangled = calls.drop("refs").join(grouped, key, "left").join(users, key, "left").where("refs IS NOT NULL OR used")
+    tangled = checkpointed(tangled.select(*key, "call_turn", "result_turn", "refs"))
+    sizes = tangled.groupBy("conv_id").agg(F.sum(1 + F.coalesce(F.size("refs"), F.lit(0))).alias("size"))
+    large = checkpointed(sizes.where(F.col("size") > group).select("conv_id"))
+    small = tangled.join(large, "conv_id", "left_anti")
+    out = small.groupBy("conv_id").applyInPandas(_peel_group, "conv_id long, h long, at long, depth long")
+    if large.isEmpty():
+        return out
+    steps = checkpointed(tangled.join(large, "conv_id", "left_semi"))
+    return out.union(steps.select(*key).join(_peel_steps(steps), key, "left"))
+
+
+def link(found: DataFrame, group: int = GROUP) -> DataFrame:
     """Adds status, at_turn and depth; (conv_id, at_turn, depth, turn, part) orders the parts topologically."""
+    key = ["conv_id", "h"]
+    found = found.withColumn("h", F.when(F.col("call_id").isNotNull() & F.col("conv_id").isNotNull(), F.xxhash64("call_id")))
+    own = F.coalesce("turn", F.lit(0).cast("long"))
     first = F.min(F.struct("turn", "part", "body", "error", "refs"))
-    key = ["conv_id", "call_id"]
-    calls = found.where("kind = 'call' AND call_id IS NOT NULL AND conv_id IS NOT NULL").groupBy(*key).agg(first.alias("c"))
-    calls = calls.select(*key, F.col("c.turn").alias("call_turn"), F.col("c.part").alias("call_part"), F.col("c.body").alias("call_body"), "c.refs", F.coalesce("c.turn", F.lit(0)).alias("at"), F.lit(0).alias("deep"))
-    results = found.where("kind = 'result'").groupBy(*key).agg(F.min(F.coalesce("turn", F.lit(0))).alias("result_turn"))
+    calls = found.where("kind = 'call' AND h IS NOT NULL").groupBy(*key).agg(first.alias("c"))
+    calls = calls.select(*key, F.coalesce("c.turn", F.lit(0).cast("long")).alias("call_turn"), F.col("c.turn").alias("first_turn"), F.col("c.part").alias("first_part"), F.xxhash64("c.body").alias("first_b"), "c.refs")
+    results = found.where("kind = 'result' AND h IS NOT NULL").groupBy(*key).agg(F.min(own).alias("result_turn"))
     calls = checkpointed(calls.join(results, key, "left"))
-    last = None
-    for _ in range(ROUNDS):
-        if calls.where(F.size("refs") > 0).isEmpty():
-            break
-        # the result of a call stands at the later of its own turn and the call's
-        ends = calls.select("conv_id", F.col("call_id").alias("ref"), F.greatest("at", F.coalesce("result_turn", "at")).alias("end"), (F.col("deep") + 1).alias("end_deep"))
-        wants = calls.where(F.size("refs") > 0).select(*key, F.explode("refs").alias("ref")).join(ends, ["conv_id", "ref"])
-        after = wants.groupBy(*key).agg(F.max("end").alias("end"), F.max("end_deep").alias("end_deep"))
-        moved = calls.join(after, key, "left").withColumns({"new_at": F.greatest("at", F.coalesce("end", "at")), "new_deep": F.greatest("deep", F.coalesce(F.col("end_deep") + 1, "deep"))})
-        changed = F.col("new_at").eqNullSafe(F.col("at")) & F.col("new_deep").eqNullSafe(F.col("deep"))
-        moved = last = written(moved.withColumn("changed", ~changed), replaces=last)
-        calls = moved.select(*key, "call_turn", "call_part", "call_body", "refs", F.col("new_at").alias("at"), F.col("new_deep").alias("deep"), "result_turn")
-        if moved.where("changed").isEmpty():
-            break
-    # whoever still rises after so many rounds is on or behind a cycle
-    cycle = F.col("deep") >= ROUNDS
-    joined = found.join(calls, key, "left") if "refs" not in found.columns else found.drop("refs").join(calls.drop("refs"), key, "left")
-    is_first = F.col("call_turn").eqNullSafe(F.col("turn")) & F.col("call_part").eqNullSafe(F.col("part")) & (F.col("call_body") == F.col("body"))
+    placed = _placed(calls, group).withColumn("tangled", F.lit(True))
+    calls = calls.drop("refs").join(placed, key, "left").withColumn("cycle", F.coalesce("tangled", F.lit(False)) & F.col("at").isNull())
+    calls = calls.withColumns({"at": F.coalesce("at", "call_turn"), "depth": F.coalesce("depth", F.lit(0).cast("long"))}).drop("tangled")
+
+    # read anew, so that the join has a shuffle on either side and a hot key can be split
+    joined = found.drop("refs").join(checkpointed(calls), key, "left")
+    is_first = F.col("first_turn").eqNullSafe(F.col("turn")) & F.col("first_part").eqNullSafe(F.col("part")) & (F.col("first_b") == F.xxhash64("body"))
+    call, failed, known = F.col("kind") == "call", F.col("error").isNotNull(), F.col("at").isNotNull()
     status = (
         F.when(F.col("kind") == "message", "plain")
-        .when(F.col("at").isNull(), F.when(F.col("kind") == "result", "orphan").otherwise(F.when(F.col("error").isNotNull(), "invalid").otherwise("unanswered")))
-        .when(cycle, "cycle")
-        .when((F.col("kind") == "call") & ~is_first, "duplicate")
-        .when(F.col("error").isNotNull(), "invalid")
-        .when((F.col("kind") == "call") & F.col("result_turn").isNull(), "unanswered")
+        .when((F.col("kind") == "result") & ~known, "orphan")
+        .when(call & known & ~is_first, "duplicate")
+        .when(F.coalesce("cycle", F.lit(False)), "cycle")
+        .when(failed, "invalid")
+        .when(call & F.col("result_turn").isNull(), "unanswered")
         .otherwise("linked")
     )
-    own = F.coalesce("turn", F.lit(0))
-    call = F.col("kind") == "call"
-    linked = F.col("at").isNotNull() & (F.col("kind") != "message")
-    depth = F.when(linked & call, F.col("deep")).when(linked, F.col("deep") + 1).otherwise(0)
+    linked = known & (F.col("kind") != "message")
+    depth = F.when(linked & call, F.col("depth")).when(linked, F.col("depth") + 1).otherwise(0)
     return joined.select(
         "conv_id", "turn", "part", "role", "kind", "call_id", "name", "error", status.alias("status"),
         F.when(linked, F.greatest(own, "at")).otherwise(own).alias("at_turn"), depth.cast("int").alias("depth"), "body",
     )
 
 
-def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
-    return link(parts(conversations, schemas))
+def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = None, group: int = GROUP) -> DataFrame:
+    """schemas: a JSON schema for each tool; None validates nothing, calls of tools without a schema are invalid."""
+    return link(parts(conversations, schemas), group)

@@ -9,13 +9,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows taken, in hash order, to place range boundaries. They only decide how rows are dealt, never a result.
+#: Rows taken at least, in hash order, to place range boundaries. They only decide how rows are dealt, never a result.
 BOUNDARY_SAMPLE = 5000
 HASH_SPAN = 1 << 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A table of the driver. One of few files, whose row groups few tasks would read, is dealt out, needed columns only."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    few = df.rdd.getNumPartitions() <= cores and len(df.inputFiles()) < min(cores, 4)
+    return df.repartition(cores) if few else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -63,6 +67,14 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(crc % F.lit(modulus) == F.lit(remainder), F.lit(False))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't use, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -90,7 +102,7 @@ def boundaries(df: DataFrame, key: str, buckets: int, by: str | None = None) ->
     if buckets < 2:
         return []
     known = df.where(F.col(key).isNotNull())
-    keys = sorted(row[key] for row in first_by_hash(known, [by or key], BOUNDARY_SAMPLE).select(key).collect())
+    keys = sorted(row[key] for row in first_by_hash(known, [by or key], max(BOUNDARY_SAMPLE, 20 * buckets)).select(key).collect())
     return sorted({keys[len(keys) * i // buckets] for i in range(1, buckets)}) if keys else []
 
 

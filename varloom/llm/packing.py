@@ -1,13 +1,17 @@
 """Best-fit packing with bound-certified repacking.
 
-Documents are cut only where they exceed a sequence. Pieces are dealt to groups of bounded size and each group is packed
+Documents are cut only where they exceed a sequence. Pieces are dealt to groups of about GROUP_ROWS and each group is packed
 by best-fit decreasing. Dual-feasible-function bounds say how few bins a group could need; a group that reaches its bound
 is certified: no exchange could improve it, and it stays. A group that needs more bins, or whose bound is its volume alone
 and so leaves a remainder, gives up its bins with gaps; these pieces are dealt anew to fewer groups, so that gaps of
-different groups meet, and packed again, until one group is left or all are certified.
+different groups meet, and packed again, until one group is left, all are certified or a round gave up as many as it got.
+
+The number of groups follows from the rows, never from a session setting, so a table is always packed alike. Equal rows are
+counted before they are dealt, and their copies spread evenly over the groups.
 
 Nulls and edges: a null or empty text is a document of one id (the end id). A null doc_id is packed like any other.
-Repeated rows are packed once each. An empty table gives an empty result. Extra columns are not read.
+Repeated rows are packed once each. Very long texts become pieces of one sequence each and a rest. An empty table gives an
+empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import checkpointed, partitions, text_values
+from varloom.llm.common import checkpointed, text_values
 from varloom.llm.wordbpe import word_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 PACKED = f"{PIECES}, bin long, offset long, loose boolean"
 GROUP_ROWS = 50_000
 FEWER = 16
@@ -110,7 +115,8 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def _packed(dealt: DataFrame, round_no: int, capacity: int, last: bool, gap: int) -> DataFrame:
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
+        rows = rows.loc[rows.index.repeat(rows["copies"])].reset_index(drop=True)
         lengths = rows["length"].to_numpy()
         bins, offsets, fill = best_fit(lengths, capacity)
         needed = lower_bound(lengths, capacity)
@@ -119,32 +125,39 @@ def _packed(dealt: DataFrame, round_no: int, capacity: int, last: bool, gap: int
         rows["loose"] = False if certified else (capacity - fill[bins]) >= gap
         rows["bin"] = (np.int64(round_no) << 58) + (np.int64(key[0]) << 26) + bins
         rows["offset"] = offsets
-        return rows.drop(columns="dealt")
+        return rows.drop(columns=["dealt", "copies"])
 
     return dealt.groupBy("dealt").applyInPandas(pack, PACKED)
 
 
-def pack(cut: DataFrame, capacity: int = 4096, group_rows: int = GROUP_ROWS, gap: int | None = None, rounds: int = 8) -> DataFrame:
+def _deal(rows: DataFrame, groups: int, round_no: int) -> DataFrame:
+    """Distinct rows with the number of their copies in each group (dealt): an even share, from a group chosen by hash on."""
+    many = rows.groupBy(*COLUMNS).agg(F.count(F.lit(1)).alias("n"))
+    first = F.pmod(F.xxhash64(*COLUMNS, F.lit(round_no)), F.lit(groups))
+    each = many.select(*COLUMNS, "n", first.alias("first"), F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(groups)).cast("int") - 1)).alias("k"))
+    copies = F.floor(F.col("n") / groups) + (F.col("k") < F.col("n") % groups).cast("long")
+    return each.select(*COLUMNS, copies.alias("copies"), F.pmod(F.col("first") + F.col("k"), F.lit(groups)).cast("long").alias("dealt"))
+
+
+def pack(cut: DataFrame, capacity: int = 4096, group_rows: int = GROUP_ROWS, gap: int | None = None) -> DataFrame:
     """sequence_id and offset for each piece. gap: a bin of an uncertified group with that much room is repacked."""
-    spark = cut.sparkSession
     gap = max(1, capacity // 100) if gap is None else gap
-    loose, settled = checkpointed(cut), []
+    loose, settled, k = checkpointed(cut), [], 0
     rows = loose.count()
-    groups = max(partitions(spark), -(-rows // group_rows)) if rows > 2000 else 1
-    for k in range(rounds):
-        last = groups == 1 and rows <= group_rows or k == rounds - 1
-        deal = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(k)), F.lit(groups))
-        done = checkpointed(_packed(loose.select("doc_id", "piece", "start", "length", "ids_crc32", deal.alias("dealt")), k, capacity, last, gap))
-        settled.append(done.where(~F.col("loose")))
-        loose = done.where("loose").select("doc_id", "piece", "start", "length", "ids_crc32")
-        rows = 0 if last else loose.count()
-        if not rows:
+    groups = max(1, -(-rows // group_rows))
+    while True:
+        done = checkpointed(_packed(_deal(loose, groups, k), k, capacity, groups == 1, gap))
+        left = done.where("loose").count() if groups > 1 else 0
+        if left == 0 or left >= rows:
+            settled.append(done)
             break
+        settled.append(done.where(~F.col("loose")))
+        loose, rows, k = done.where("loose").select(*COLUMNS), left, k + 1
         groups = max(-(-rows // group_rows), groups // FEWER, 1)
     out = settled[0]
     for more in settled[1:]:
         out = out.union(more)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+    return out.select(*COLUMNS, F.col("bin").alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096) -> DataFrame:

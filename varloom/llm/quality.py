@@ -4,8 +4,10 @@ Statistics of each whole text are computed on the executors. The trees are fitte
 labelled rows, then flattened into arrays; scoring walks all rows of a batch through all trees at once in numpy.
 
 Nulls and edges: a null text is scored as an empty one. Labels other than 0 and 1, null ids and held-out ids teach nothing;
-an id with several labels counts once, with the smallest. Without labels of both kinds every score is the share of label 1
-(0.5 without any). Repeated rows are scored each. Extra columns of the documents pass through.
+an id with several labels counts once, with the smallest; one with several texts teaches the one with the smallest hash.
+Without labels of both kinds every score is the share of label 1 (0.5 without any). Repeated rows are scored each, ties in a
+split go to the first statistic and the lowest bin. Very long texts are measured whole, one at a time. An empty table gives an
+empty result. Extra columns of the documents pass through; `into` names the two columns that are added or replaced.
 """
 
 from __future__ import annotations
@@ -137,28 +139,29 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column | None = None, rows:
     use = use.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     use = use.where(teaches) if teaches is not None else use
     use = first_by_hash(use.groupBy("doc_id").agg(F.min("quality").alias("quality")), ["doc_id"], rows)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     chosen = chosen.join(F.broadcast(use), "doc_id")  # at most `rows` ids
 
     def measure(batches):
         for batch in batches:
-            found = pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"]})
+            found = batch[["doc_id", "quality", "h"]].copy()
             found["x"] = [statistics(t).tolist() for t in batch["text"]]
             yield found
 
-    found = chosen.mapInPandas(measure, "doc_id long, quality int, x array<double>").dropDuplicates(["doc_id"]).toPandas()
-    found = found.sort_values("doc_id")
+    found = chosen.mapInPandas(measure, "doc_id long, quality int, h long, x array<double>")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("h", "quality", "x")).alias("m")).select("doc_id", "m.quality", "m.x").toPandas().sort_values("doc_id")
     x = np.array(found["x"].tolist()).reshape(len(found), len(FEATURES))
     return fit_trees(x, found["quality"].to_numpy(float), **how)
 
 
-def score(docs: DataFrame, trees: Trees) -> DataFrame:
-    """The documents with score (probability of label 1) and predicted (score of 0.5 or more)."""
+def score(docs: DataFrame, trees: Trees, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The documents with the probability of label 1, and whether it is 0.5 or more (1 or 0)."""
 
     @F.pandas_udf("double")
     def scored(text: pd.Series) -> pd.Series:
         x = np.array([statistics(t) for t in text]).reshape(len(text), len(FEATURES))
         return pd.Series(trees.score(x))
 
-    done = docs.withColumn("score", scored(F.col("text").cast("string")))
-    return done.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
+    done = docs.withColumn(into[0], scored(F.col("text").cast("string")))
+    return done.withColumn(into[1], F.when(F.col(f"`{into[0]}`") >= 0.5, 1).otherwise(0).cast("int"))

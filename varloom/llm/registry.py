@@ -41,7 +41,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract.main_text(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "pair_id", "n_shared")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +49,34 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The tools of the calls that `with_calls` writes.
+SCHEMAS = {
+    "measure": {
+        "type": "object", "required": ["chars"], "additionalProperties": False,
+        "properties": {"chars": {"type": "integer"}, "quote": {"type": "string"}, "after": {"type": "object"}},
+    },
+}
+#: The table holds no tool calls, so calls and results are written for its assistant turns, by SQL that Spark and DuckDB share:
+#: every one calls `measure` with its length; in spans of 20 turns it refers to the call two turns before; some have a wrong
+#: type, an unknown tool or no result.
+CALLS = """
+SELECT conv_id, turn, 'assistant' AS role, concat('{{"tool_calls": [{{"id": "c', cast(turn AS {text}), '", "name": "',
+         CASE WHEN length(text) % 13 = 0 THEN 'unknown' ELSE 'measure' END, '", "arguments": {{"quote": "q", "chars": ',
+         CASE WHEN length(text) % 7 = 0 THEN '"many"' ELSE cast(length(text) AS {text}) END,
+         CASE WHEN turn % 20 >= 2 THEN concat(', "after": {{"$ref": "c', cast(turn - 2 AS {text}), '"}}') ELSE '' END, '}}}}]}}') AS text
+FROM {chats} WHERE role = 'assistant' AND text IS NOT NULL
+UNION ALL SELECT conv_id, turn + 1 AS turn, 'tool' AS role,
+         concat('{{"content": ', cast(length(text) AS {text}), ', "tool_call_id": "c', cast(turn AS {text}), '"}}') AS text
+FROM {chats} WHERE role = 'assistant' AND text IS NOT NULL AND length(text) % 11 <> 0"""
+
+
+def with_calls(conversations: DataFrame) -> DataFrame:
+    chats = conversations.select("conv_id", "turn", "role", "text")
+    return chats.unionByName(conversations.sparkSession.sql(CALLS.replace("{text}", "string"), chats=chats))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(table(spark, sf_dir, "conversations"))
+    return chat.format_chats(with_calls(table(spark, sf_dir, "conversations")), SCHEMAS)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,14 +84,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.with_next(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return spotsigs.with_links(spotsigs.with_next(docs), spotsigs.links(docs))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
     model = langid.fit(docs, ~out)
-    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -79,21 +106,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OP4_SQL = f"""
 WITH docs AS (SELECT doc_id, text, source, row_number() OVER () AS r FROM documents),
 lines AS (
-  SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM docs
-), counted AS (
-  SELECT *, trim(line) AS key, regexp_matches(trim(line), '^(?:\\S+\\s+){{{linededup.MIN_WORDS - 1}}}\\S') AS counts FROM lines
+  SELECT r, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM docs
 ), bad AS (
-  SELECT key FROM counted WHERE counts GROUP BY key HAVING count(DISTINCT source) >= {linededup.SITES}
+  SELECT trim(line) AS key FROM lines WHERE trim(line) <> ''
+  GROUP BY 1 HAVING count(DISTINCT source) >= {linededup.SITES} AND count(DISTINCT text) >= {linededup.SITES}
 ), marked AS (
-  SELECT c.*, c.counts AND b.key IS NOT NULL AS gone FROM counted c LEFT JOIN bad b ON c.key = b.key
+  SELECT l.*, b.key IS NOT NULL AS gone FROM lines l LEFT JOIN bad b ON trim(l.line) = b.key
 ), cleaned AS (
   SELECT r, count(*) AS n_lines, sum(gone::INT) AS n_gone, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS clean
   FROM marked GROUP BY r
 )
-SELECT d.doc_id,
-       CASE WHEN d.text IS NULL OR length(c.clean) < length(d.text) * {1 - linededup.MAX_SHARE} THEN d.text ELSE c.clean END AS text,
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN c.clean END AS text,
        CAST(CASE WHEN d.text IS NULL THEN 0 ELSE c.n_lines END AS BIGINT) AS n_lines,
-       CAST(CASE WHEN d.text IS NULL OR length(c.clean) < length(d.text) * {1 - linededup.MAX_SHARE} THEN 0 ELSE c.n_gone END AS BIGINT) AS n_removed
+       CAST(CASE WHEN d.text IS NULL THEN 0 ELSE c.n_gone END AS BIGINT) AS n_removed
 FROM docs d LEFT JOIN cleaned c USING (r)
 """
 

@@ -288,11 +288,11 @@ def links(distinct: DataFrame, cell: Column, steps: list[int], words: int, radiu
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def components(found: DataFrame, rounds: int = 60) -> DataFrame:
+def components(found: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for every node of the links a, b; by alternating large and small stars."""
     edges = written(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b")

@@ -1,16 +1,21 @@
 """SpotSigs document fingerprints.
 
 A signature is a common word (an anchor) with the chain of the next content words. The fingerprint of a text is the set of
-its signatures, as sorted 32-bit hashes in base64. Likeness is the Jaccard similarity of two sets; sets whose lengths rule
-a threshold out are not compared. Near-duplicate search partitions sets by length, so only sets of one or the next partition
-meet, on the rarest signatures that similar sets must share.
+its signatures, as sorted 32-bit hashes in base64; likeness is the Jaccard similarity of two sets.
+
+Near-duplicate search partitions sets by length, so that only sets of one or the next partition meet, on the first signatures
+of each set in an order that all sets share: similar sets must have one of these in common. Signatures that are frequent in a
+bounded sample come last in that order (it decides what meets, never what is found). Lengths prune what meets, and the
+Jaccard similarity of whole sets decides. Equal sets are one class; copies are not expanded into pairs.
 
 A text without any signature (no anchor, or nothing behind it) uses the chains behind every word; one without enough words
 its words as one chain, and one without words its whole text.
 
 Nulls and edges: a null text counts as empty; empty texts equal each other (likeness 1). A null doc_id comes last in the
-order of documents. Rows that tie in doc_id follow each other by content. Of a single document the next document is itself.
-An empty table gives an empty result. Extra columns are not read.
+order of documents. Rows that tie in doc_id follow each other by the hash of their text. Of a single document the next
+document is itself. Documents are dealt by ranges of (doc_id, hash), so many rows without id are split; rows equal in both lie
+in one range, and are read one after another. Very long texts are read whole, one at a time. An empty table gives an empty
+result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,17 +23,27 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from math import log
+import zlib
+from bisect import bisect_right
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import boundaries, by_bucket, checkpointed, partitions
+from varloom.llm.common import boundaries, by_bucket, checkpointed, first_by_hash
 
 CHAIN = 2
+THRESHOLD = 0.8
+#: Documents that tell which signatures are frequent, and in how many of them a frequent one is.
+ORDER_ROWS, ORDER_LEAST = 2000, 4
+#: Up to so many keys (16 bytes each) are broadcast.
+FEW = 200_000
+#: Documents of a range, and ranges at most (a range is streamed, so it may be long).
+RANGE, RANGES = 1000, 10_000
 WORD = re.compile(r"\w+")
 #: Anchors: the commonest words of four languages (fixed values).
 ANCHORS = frozenset(
@@ -41,23 +56,20 @@ ANCHORS = frozenset(
     # Spanish
     "el los las y del se no por con una su para al lo como".split()
 )
-PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
 
 
 def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
     """Sorted distinct hashes of the signatures of one whole text."""
     words = WORD.findall(text.lower())
-    content = [w for w in words if w not in ANCHORS]
-    spots: set[str] = set()
-    if len(content) != len(words):
-        chains = [" ".join(c) for c in zip(*(content[k:] for k in range(chain)), strict=False)]
-        behind = 0
-        for w in words:
-            if w in ANCHORS:
-                if behind < len(chains):
-                    spots.add(f"{w} {chains[behind]}")
-            else:
-                behind += 1
+    content, anchors = [], []
+    for w in words:
+        if w in ANCHORS:
+            anchors.append((w, len(content)))
+        else:
+            content.append(w)
+    last = len(content) - chain
+    spots = {" ".join((w, *content[k : k + chain])) for w, k in anchors if k <= last}
     if not spots and len(words) > chain:
         spots = {" ".join(c) for c in zip(*(words[k:] for k in range(chain + 1)), strict=False)}
     if not spots:
@@ -74,15 +86,16 @@ def decoded(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), "<u4")
 
 
-def likeness(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> float:
-    """Jaccard similarity; 0 without a comparison where the lengths alone keep it under the threshold."""
-    low, high = sorted((len(a), len(b)))
-    if not high or low < threshold * high:
-        return 0.0
+def class_of(spots: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(spots.tobytes()) - (1 << 63)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity."""
     both = np.concatenate([a, b])
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
-    return shared / (len(a) + len(b) - shared)
+    return shared / (both.size - shared)
 
 
 def edited(text: str, following: str) -> str:
@@ -91,97 +104,158 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """One row per document with its fingerprint, its edited text's, and the likeness to that and to the next document's.
 
-    The next document is the one of the next smaller doc_id, after the last the first. Documents are dealt by ranges of
-    doc_id; the first of each range also visits the range before, so ranges need no common task.
+    The next document is the one of the next smaller doc_id, after the last the first. Documents are dealt by ranges; the first
+    of each range also visits the range before, so ranges need no common task. Texts travel compressed.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = np.array(boundaries(rows, "doc_id", partitions(spark) * 2), np.int64)
-    many = len(cuts) + 1
+    # ascending: known ids from the largest, then rows without
+    place = F.struct(F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")).alias("down"), F.xxhash64("text").alias("h"))
+    rows = _texts(docs).withColumn("place", place)
+    many = min(-(-rows.count() // RANGE), RANGES)
+    cuts = [tuple(c) for c in boundaries(rows.select("place"), "place", many)]
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        at = many - 1 - np.searchsorted(cuts, ids.fillna(0).astype("int64").to_numpy(), "right")
-        return pd.Series(np.where(known, at, many)).astype("int32")
-
-    keyed = rows.withColumn("bucket", bucket("doc_id"))
-    heads = {r["bucket"]: r["head"] for r in keyed.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}  # one row for each range
-    order = sorted(heads)
-    visits = [(order[k - 1], heads[b], b) for k, b in enumerate(order)]  # the last range is visited by the first
-    calls = F.array(F.col("bucket"))
-    if visits:
-        of = F.create_map(*[F.lit(x) for before, _, b in visits for x in (b, before)])
-        head = F.create_map(*[F.lit(x) for _, h, b in visits for x in (b, -1 if h is None else h)])
-        first = F.col("doc_id") == head[F.col("bucket")]
-        if many in heads:  # rows without an id: the smallest text leads
-            least = rows.where("doc_id IS NULL").agg(F.min("text")).first()[0]
-            first = F.when(F.col("doc_id").isNull(), F.col("text") == F.lit(least)).otherwise(first)
-        calls = F.when(first, F.array(F.col("bucket"), of[F.col("bucket")])).otherwise(calls)
-    dealt = keyed.select("doc_id", "text", F.posexplode(calls).alias("visit", "bucket"))
+    def bucket(places: pd.DataFrame) -> pd.Series:
+        found = zip(places["none"].tolist(), places["down"].tolist(), places["h"].tolist(), strict=True)
+        return pd.Series([bisect_right(cuts, p) for p in found], dtype="int32")
+
+    # the first place of each range, one row for each, and the range that it visits
+    heads = rows.select("place", bucket("place").alias("b")).groupBy("b").agg(F.min("place").alias("p")).collect()
+    heads.sort(key=lambda r: r["b"])
+    visits = {tuple(r["p"]): heads[k - 1]["b"] for k, r in enumerate(heads)}
+    schema = pa.schema([("bucket", pa.int32()), ("visit", pa.bool_()), ("none", pa.int32()), ("down", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary())])
+
+    def deal(batches):
+        for batch in batches:
+            out = []
+            for doc, text, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, packed = tuple(place.values()), zlib.compress(text.encode("utf-8", "replace"), 1)
+                out.append((bisect_right(cuts, at), False, *at, doc, packed))
+                if at in visits:
+                    out.append((visits[at], True, *at, doc, packed))
+            columns = list(zip(*out, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches):
         held = None  # bucket, doc_id, text, spots of the document whose next has not come
-        done = False
+        done = None  # the range whose visitor has come; further rows equal to it are passed over
         for batch in batches:
             out = []
-            for doc, text, visit, own in zip(batch["doc_id"], batch["text"], batch["visit"], batch["bucket"], strict=True):
-                if held is not None and held[0] != own:
-                    raise RuntimeError("a range ended without the first document of the next one")
-                if done:
-                    continue  # further visitors of the same id
-                spots = signatures(text)
+            for own, visit, doc, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "visit", "doc_id", "text")), strict=True):
+                if done == own:
+                    continue
+                text = zlib.decompress(packed).decode()
+                spots = held[3] if held is not None and held[2] == text else signatures(text)
                 if held is not None:
-                    out.append(result(held, text, spots))
-                held = (own, None if pd.isna(doc) else int(doc), text, spots)
-                done = bool(visit)
-                if done:
-                    held = None
+                    if held[0] != own:
+                        raise RuntimeError("a range ended without the first document of the next one")
+                    out.append(told(held, text, spots))
+                held = None if visit else (own, doc, text, spots)
+                done = own if visit else None
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PAIRS.split(", ")])
 
-    def result(held, following, spots):
+    def told(held, following, spots):
         _, doc, text, mine = held
         new = edited(text, following)
         other = signatures(new) if new != text else mine
         digest = hashlib.sha256(new.encode("utf-8", "replace")).hexdigest()
-        return doc, len(text), digest, encoded(mine), encoded(other), likeness(mine, other), likeness(mine, spots)
+        return doc, len(text), digest, encoded(mine), encoded(other), likeness(mine, other), likeness(mine, spots), class_of(mine)
 
-    dealt = by_bucket(dealt, "bucket", many + 1)
-    return dealt.sortWithinPartitions("bucket", "visit", F.desc_nulls_last("doc_id"), "text").mapInPandas(run, PAIRS)
+    def as_rows(batches):
+        for frame in run(batches):
+            yield pa.RecordBatch.from_pandas(frame, out_schema, preserve_index=False)
 
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    out_schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in PAIRS.split(", ")])
+    dealt = by_bucket(rows.select("doc_id", "text", "place").mapInArrow(deal, "bucket int, visit boolean, none int, down long, h long, doc_id long, text binary"), "bucket", len(cuts) + 1)
+    return dealt.sortWithinPartitions("bucket", "visit", "none", "down", "h").mapInArrow(as_rows, PAIRS)
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id (hash of the fingerprint) and n_links: other distinct fingerprints at or over the threshold.
 
-    Equal fingerprints are one class. A set of n must share one of its n - ceil(threshold n) + 1 rarest signatures with any
-    similar set, and that set lies in its own length partition or a neighbouring one.
-    """
+def _frequent(rows: DataFrame) -> np.ndarray:
+    """Signatures in at least ORDER_LEAST documents of a bounded sample, the most frequent last."""
+
+    def spots(batches):
+        for batch in batches:
+            yield pd.DataFrame({"spot": np.concatenate([signatures(t) for t in batch["text"]] or [np.empty(0, "<u4")]).astype(np.int64)})
+
+    sample = first_by_hash(rows.withColumn("h", F.xxhash64("text")).groupBy("h").agg(F.first("text").alias("text")), ["h"], ORDER_ROWS)
+    often = sample.select("text").mapInPandas(spots, "spot long").groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ORDER_LEAST)
+    return np.array([r["spot"] for r in sorted(often.collect(), key=lambda r: (r["n"], r["spot"]))], np.uint32)
+
+
+def first_spots(spots: np.ndarray, frequent: np.ndarray, place: np.ndarray, threshold: float) -> np.ndarray:
+    """As many signatures, in the common order, as a set this large must share one of with any similar set."""
+    at = np.searchsorted(frequent, spots)
+    known = (at < frequent.size) & (frequent[np.minimum(at, frequent.size - 1)] == spots) if frequent.size else np.zeros(spots.size, bool)
+    mixed = (spots * np.uint32(2654435761)).astype(np.int64)  # not in the order of the values
+    order = np.argsort(np.where(known, (1 << 32) + (place[np.minimum(at, frequent.size - 1)] if frequent.size else 0), mixed), kind="stable")
+    return spots[order[: spots.size - ceil(threshold * spots.size - 1e-9) + 1]]
+
+
+def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """class_id and n_links of every class that is near another: other classes at or over the threshold."""
+    rows = _texts(docs)
+    often = _frequent(rows)
+    order = np.argsort(often)
+    frequent, place = often[order], order.astype(np.int64)
 
     def sets(batches):
         for batch in batches:
-            found = [signatures(t) for t in batch["text"].fillna("")]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "spots": [s.astype("int64").tolist() for s in found]})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInPandas(sets, "doc_id long, spots array<long>").withColumn("class_id", F.xxhash64("spots"))
-    found = checkpointed(found)
-    classes = found.groupBy("class_id").agg(F.first("spots").alias("spots"))
-    each = classes.select("class_id", F.size("spots").alias("n"), F.explode("spots").alias("spot"))
-    often = each.groupBy("spot").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(often, "spot").where("df > 1").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "spot"))).alias("by_df"))
-    unique = F.col("n") - F.size("by_df")  # signatures no other set has come first
-    prefix = F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1 - unique).cast("int")
+            found = [signatures(t) for t in batch["text"]]
+            first = [first_spots(s, frequent, place, threshold).tobytes() for s in found]
+            yield pd.DataFrame({"class_id": [class_of(s) for s in found], "n": [s.size for s in found], "first": first, "h": batch["h"]})
+
+    classes = rows.select("text", F.xxhash64("text").alias("h")).mapInPandas(sets, "class_id long, n int, first binary, h long")
+    classes = checkpointed(classes.groupBy("class_id", "n").agg(F.min(F.struct("h", "first")).alias("m")).select("class_id", "n", "m.h", "m.first"))
+    # 4 bytes a signature; a length partition holds sets of which the smaller may be similar to the larger
+    spot = F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.length("first") / 4).cast("int") - 1), lambda k: F.substring("first", k * 4 + 1, F.lit(4))))
     band = F.floor(F.log("n") / F.lit(-log(threshold)) + F.lit(1e-9)).cast("int")
-    keys = ranked.select("class_id", "n", band.alias("band"), F.explode(F.slice("by_df", F.lit(1), prefix)).alias("k")).select("class_id", "n", "band", F.col("k.spot").alias("spot"))
+    keys = classes.select("class_id", "n", band.alias("band"), spot.alias("spot"))
     a = keys.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "spot", F.col("band").alias("at"))
     b = keys.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "spot", F.explode(F.array("band", F.col("band") + 1)).alias("at"))
     fits = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - F.lit(1e-9)) & (F.col("a") != F.col("b"))
     pairs = a.join(b, ["spot", "at"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = (classes.select(F.col("class_id").alias(x), F.col("spots").alias(f"s{x}")) for x in "ab")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    near = pairs.join(left, "a").join(right, "b").where(shared >= F.lit(threshold) * (F.size("sa") + F.size("sb") - shared) - F.lit(1e-9))
-    near = near.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-    return found.select("doc_id", "class_id").join(near, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    pairs = checkpointed(pairs)
+    # whole sets of the classes that met, from one text of each
+    met = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
+    wanted = checkpointed(classes.select("class_id", "h").join(met, "class_id"))
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+
+    def whole(batches):
+        for batch in batches:
+            yield pd.DataFrame({"class_id": batch["class_id"], "spots": [signatures(t).tobytes() for t in batch["text"]]})
+
+    texts = rows.withColumn("h", F.xxhash64("text")).join(wanted, "h").select("class_id", "text")
+    full = texts.mapInPandas(whole, "class_id long, spots binary").groupBy("class_id").agg(F.first("spots").alias("spots"))
+    full = checkpointed(full)
+
+    @F.pandas_udf("double")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([likeness(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    left, right = (full.select(F.col("class_id").alias(x), F.col("spots").alias(f"s{x}")) for x in "ab")
+    near = pairs.join(left, "a").join(right, "b").where(alike("sa", "sb") >= F.lit(threshold - 1e-9))
+    return near.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+
+
+def with_links(found: DataFrame, near: DataFrame) -> DataFrame:
+    """Adds n_links to a table with class_id."""
+    near = checkpointed(near)
+    near = F.broadcast(near) if near.count() <= FEW else near
+    return found.join(near, "class_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (documents of equal fingerprints) and n_links, the number of other classes that are similar."""
+
+    def classes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "class_id": [class_of(signatures(t)) for t in batch["text"]]})
+
+    return with_links(_texts(docs).mapInPandas(classes, "doc_id long, class_id long"), links(docs, threshold)).select("doc_id", "class_id", "n_links")
