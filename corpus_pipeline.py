@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.llm import decontam, linededup, packing, quality, simhash
-from varloom.llm.common import table, written
+from varloom.llm.common import fresh, table, written
 from varloom.llm.registry import tokenizer
 
 #: SQL can express neither trained trees nor tokenization nor best-fit packing; tests compare with brute force.
@@ -28,8 +28,8 @@ def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as good. It learns from the labelled rows of the whole table."""
     trees = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, trees)
-    return scored.where(F.col("predicted") == 1).select(docs.columns)
+    into = fresh(docs, "score"), fresh(docs, "predicted")
+    return quality.score(docs, trees, into).where(F.col(into[1]) == 1).drop(*into)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

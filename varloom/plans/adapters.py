@@ -60,8 +60,10 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table that one task would read (a single row group) is dealt out; one of several parts stays as it lies."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() < 2 else df
+    """A table of few files, whose row groups few tasks would read, is dealt out; any other stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df.rdd.getNumPartitions() <= cores and len(df.inputFiles()) < min(cores, 4)
+    return df.repartition(cores) if few else df
 
 
 def with_clause(*more: str) -> str:
