@@ -85,7 +85,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return spotsigs.with_links(spotsigs.with_next(docs), spotsigs.links(docs))
+    return spotsigs.with_groups(spotsigs.with_next(docs), spotsigs.near_groups(docs))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,5 +123,30 @@ FROM docs d LEFT JOIN cleaned c USING (r)
 """
 
 
+OP7_SQL = f"""
+WITH RECURSIVE written AS ({CALLS.format(text="VARCHAR", chats="conversations")}),
+plain AS (
+  SELECT conv_id, turn, coalesce(nullif(role, ''), 'user') AS role, coalesce(text, '') AS text FROM conversations
+), calls AS (
+  SELECT conv_id, turn, concat('c', turn) AS call_id, CASE WHEN length(text) % 13 = 0 THEN 'unknown' ELSE 'measure' END AS name,
+         CASE WHEN length(text) % 13 = 0 THEN 'unknown tool' WHEN length(text) % 7 = 0 THEN '$.chars: not integer' END AS error,
+         CASE WHEN length(text) % 7 = 0 THEN '"many"' ELSE CAST(length(text) AS VARCHAR) END AS chars, length(text) % 11 <> 0 AS answered,
+         CASE WHEN turn % 20 >= 2 THEN turn - 2 END AS before, length(text) AS n
+  FROM conversations WHERE role = 'assistant' AND text IS NOT NULL
+), places AS (
+  SELECT conv_id, turn, 0 AS depth FROM calls c WHERE NOT EXISTS (SELECT 1 FROM calls b WHERE b.conv_id = c.conv_id AND b.turn = c.before)
+  UNION ALL SELECT c.conv_id, c.turn, p.depth + 2 FROM places p JOIN calls c ON c.conv_id = p.conv_id AND c.before = p.turn
+)
+SELECT conv_id, turn, 0 AS part, role, 'message' AS kind, NULL AS call_id, NULL AS name, NULL AS error, 'plain' AS status, turn AS at_turn, 0 AS depth,
+       concat('{{"content":', CAST(to_json(text) AS VARCHAR), ',"role":', CAST(to_json(role) AS VARCHAR), '}}') AS body FROM plain
+UNION ALL SELECT conv_id, turn, 0, 'assistant', 'call', call_id, name, error,
+       CASE WHEN error IS NOT NULL THEN 'invalid' WHEN answered THEN 'linked' ELSE 'unanswered' END, turn, depth,
+       concat('{{"role":"assistant","tool_call":{{"arguments":{{', CASE WHEN before IS NULL THEN '' ELSE concat('"after":{{"$ref":"c', before, '"}},') END,
+              '"chars":', chars, ',"quote":"q"}},"id":"', call_id, '","name":"', name, '"}}}}') FROM calls JOIN places USING (conv_id, turn)
+UNION ALL SELECT conv_id, turn + 1, 0, 'tool', 'result', call_id, NULL, NULL, 'linked', turn + 1, depth + 1,
+       concat('{{"content":', n, ',"role":"tool","tool_call_id":"', call_id, '"}}') FROM calls JOIN places USING (conv_id, turn) WHERE answered
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op7_chat_formatting": OP7_SQL}

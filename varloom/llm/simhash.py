@@ -153,22 +153,56 @@ def candidate_radius(similarity: float, words: int) -> int:
     return apart + ceil(MARGIN * sqrt(apart * (1 - apart / bits)))
 
 
-def _forest(home: np.ndarray, visitors: np.ndarray, radius: int, within: bool):
-    """Links of a spanning forest between rows of home and visitors (or among home), as two arrays of numbers.
+class Trees:
+    """A spanning forest of numbered rows that grows by links."""
 
-    Numbers count home first, then visitors. Rows are compared in tiles ordered by population count; a pair of tiles whose
-    counts differ by more than the radius is skipped.
-    """
-    both = home if within else np.concatenate([home, visitors])
-    label = np.arange(len(both))
-    left, right = [], []
+    def __init__(self, rows: int):
+        self.label = np.arange(rows)
+        self.left: list[int] = []
+        self.right: list[int] = []
 
-    def root(x: int) -> int:
+    def _root(self, x: int) -> int:
+        label = self.label
         while label[x] != x:
             label[x] = label[label[x]]
             x = label[x]
         return x
 
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Links between rows x and y; those that already join two rows of one tree say nothing new."""
+        label = self.label
+        while x.size:
+            rx, ry = label[x], label[y]
+            fresh = rx != ry
+            x, y, rx, ry = x[fresh], y[fresh], rx[fresh], ry[fresh]
+            if not x.size:
+                return
+            low, high = np.minimum(rx, ry), np.maximum(rx, ry)
+            _, first = np.unique(high, return_index=True)
+            for k in first.tolist():
+                p, q = self._root(int(low[k])), self._root(int(high[k]))
+                if p != q:
+                    label[max(p, q)] = min(p, q)
+                    self.left.append(x[k])
+                    self.right.append(y[k])
+            while True:
+                flat = label[label]
+                if (flat == label).all():
+                    break
+                label[:] = flat
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(self.left, np.int64), np.array(self.right, np.int64)
+
+
+def _forest(home: np.ndarray, visitors: np.ndarray, radius: int, within: bool):
+    """Links of a spanning forest between rows of home and visitors (or among home), as two arrays of numbers.
+
+    Numbers count home first, then visitors. Rows are compared in tiles ordered by population count; a pair of tiles whose
+    counts differ by more than the radius is skipped.
+    """
+    trees = Trees(len(home) if within else len(home) + len(visitors))
+
     def ordered(rows: np.ndarray, base: int):
         weight = np.bitwise_count(rows).sum(1, dtype=np.int64)
         order = np.argsort(weight, kind="stable")
@@ -193,30 +227,9 @@ def _forest(home: np.ndarray, visitors: np.ndarray, radius: int, within: bool):
                 x, y = x[near], y[near]
             if within and a is b:
                 x, y = x[x < y], y[x < y]
-            if not x.size:
-                continue
-            x, y = na[x], nb[y]
-            # links that already join two rows of one tree say nothing new
-            while x.size:
-                rx, ry = label[x], label[y]
-                fresh = rx != ry
-                x, y, rx, ry = x[fresh], y[fresh], rx[fresh], ry[fresh]
-                if not x.size:
-                    break
-                low, high = np.minimum(rx, ry), np.maximum(rx, ry)
-                _, first = np.unique(high, return_index=True)
-                for k in first.tolist():
-                    p, q = root(int(low[k])), root(int(high[k]))
-                    if p != q:
-                        label[max(p, q)] = min(p, q)
-                        left.append(x[k])
-                        right.append(y[k])
-                while True:
-                    flat = label[label]
-                    if (flat == label).all():
-                        break
-                    label[:] = flat
-    return np.array(left, np.int64), np.array(right, np.int64)
+            if x.size:
+                trees.add(na[x], nb[y])
+    return trees.links()
 
 
 def links(distinct: DataFrame, cell: Column, steps: list[int], words: int, radius: int, tile: int | None = None) -> DataFrame:

@@ -3,10 +3,12 @@
 A signature is a common word (an anchor) with the chain of the next content words. The fingerprint of a text is the set of
 its signatures, as sorted 32-bit hashes in base64; likeness is the Jaccard similarity of two sets.
 
-Near-duplicate search partitions sets by length, so that only sets of one or the next partition meet, on the first signatures
-of each set in an order that all sets share: similar sets must have one of these in common. Signatures that are frequent in a
-bounded sample come last in that order (it decides what meets, never what is found). Lengths prune what meets, and the
-Jaccard similarity of whole sets decides. Equal sets are one class; copies are not expanded into pairs.
+Near-duplicate search brings sets together on the first signatures of each set in an order that all sets share: similar sets
+must have one of these in common. Signatures that are frequent in a bounded sample come last in that order (it decides what
+meets, never what is found). Whoever meets is ordered by length and compared with sets of a length that allows the threshold
+only, pruned by bits: the signatures' parities over 64 places differ in no more places than the sets in signatures. What is
+left joins candidate groups, by a spanning forest and not by pairs, and within these the Jaccard similarity of whole sets
+decides. Equal sets are one class, and near_id names the group of classes that are linked by similarities at the threshold.
 
 A text without any signature (no anchor, or nothing behind it) uses the chains behind every word; one without enough words
 its words as one chain, and one without words its whole text.
@@ -25,7 +27,7 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_right
-from math import ceil, log
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -34,14 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import boundaries, by_bucket, checkpointed, first_by_hash
+from varloom.llm.common import HASH_SPAN, boundaries, by_bucket, by_hash, checkpointed
+from varloom.llm.simhash import Trees, components, set_links
 
 CHAIN = 2
 THRESHOLD = 0.8
-#: Documents that tell which signatures are frequent, and in how many of them a frequent one is.
-ORDER_ROWS, ORDER_LEAST = 2000, 4
+#: Documents (about) that tell which signatures are frequent, and in how many of them a frequent one is.
+ORDER_ROWS, ORDER_LEAST = 20_000, 3
 #: Up to so many keys (16 bytes each) are broadcast.
 FEW = 200_000
+WINDOW = 1 << 15  # sets of one signature that are compared at a time
 #: Documents of a range, and ranges at most (a range is streamed, so it may be long).
 RANGE, RANGES = 1000, 10_000
 WORD = re.compile(r"\w+")
@@ -177,6 +181,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("bucket", "visit", "none", "down", "h").mapInArrow(as_rows, PAIRS)
 
 
+def parity(spots: np.ndarray) -> int:
+    """Of each of 64 places whether an odd number of signatures falls there."""
+    count = np.bincount((spots * np.uint32(0x9E3779B1)) >> np.uint32(26), minlength=64)
+    return int(np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
 def _frequent(rows: DataFrame) -> np.ndarray:
     """Signatures in at least ORDER_LEAST documents of a bounded sample, the most frequent last."""
 
@@ -184,8 +194,8 @@ def _frequent(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             yield pd.DataFrame({"spot": np.concatenate([signatures(t) for t in batch["text"]] or [np.empty(0, "<u4")]).astype(np.int64)})
 
-    sample = first_by_hash(rows.withColumn("h", F.xxhash64("text")).groupBy("h").agg(F.first("text").alias("text")), ["h"], ORDER_ROWS)
-    often = sample.select("text").mapInPandas(spots, "spot long").groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ORDER_LEAST)
+    some = rows.where(by_hash(["text"]) < int(HASH_SPAN * min(1.0, ORDER_ROWS / max(1, rows.count()))))
+    often = some.select("text").mapInPandas(spots, "spot long").groupBy("spot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ORDER_LEAST)
     return np.array([r["spot"] for r in sorted(often.collect(), key=lambda r: (r["n"], r["spot"]))], np.uint32)
 
 
@@ -198,9 +208,58 @@ def first_spots(spots: np.ndarray, frequent: np.ndarray, place: np.ndarray, thre
     return spots[order[: spots.size - ceil(threshold * spots.size - 1e-9) + 1]]
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """class_id and n_links of every class that is near another: other classes at or over the threshold."""
-    rows = _texts(docs)
+def _compared(threshold: float):
+    """Over rows (spot, n, parity, class_id) in order of spot and n: links of a forest of the sets that may be similar."""
+
+    def near(n, odd, ids, done: int) -> tuple[np.ndarray, np.ndarray]:
+        trees = Trees(len(n))
+        for begin in range(done, len(n), 512):
+            end = min(begin + 512, len(n))
+            low = int(np.searchsorted(n, ceil(threshold * int(n[begin]) - 1e-9)))
+            apart = np.bitwise_count(odd[begin:end, None] ^ odd[None, low:end])
+            sizes = n[begin:end, None] + n[None, low:end]
+            fits = (apart <= (1 - threshold) / (1 + threshold) * sizes + 1e-9) & (n[None, low:end] >= threshold * n[begin:end, None] - 1e-9)
+            x, y = np.nonzero(fits)
+            x, y = x + begin, y + low
+            trees.add(x[x > y], y[x > y])
+        a, b = trees.links()
+        return ids[a], ids[b]
+
+    def run(batches):
+        spot, held, size, done = None, [], 0, 0
+
+        def told():
+            data = [np.concatenate(c) for c in zip(*held, strict=True)]
+            a, b = near(data[0].astype(np.int64), data[1].view(np.uint64), data[2], done)
+            return data, pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            spots, *rest = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            cut = np.flatnonzero(np.diff(spots)) + 1
+            for begin, end in zip([0, *cut.tolist()], [*cut.tolist(), len(spots)], strict=True):
+                if begin == end:
+                    continue
+                if int(spots[begin]) != spot:
+                    if size > done and size > 1:
+                        yield told()[1]
+                    spot, held, size, done = int(spots[begin]), [], 0, 0
+                held.append([c[begin:end] for c in rest])
+                size += end - begin
+                if size - done >= WINDOW:  # keep what a longer set may still be similar to
+                    data, found = told()
+                    yield found
+                    keep = data[0] >= threshold * int(data[0][-1]) - 1e-9
+                    held = [[c[keep] for c in data]]
+                    size = done = int(keep.sum())
+        if size > done and size > 1:
+            yield told()[1]
+
+    return run
+
+
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """class_id and near_id (the smallest class of the group) of every class that has another one linked."""
+    rows = _texts(docs).withColumn("h", F.xxhash64("text"))
     often = _frequent(rows)
     order = np.argsort(often)
     frequent, place = often[order], order.astype(np.int64)
@@ -208,54 +267,37 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def sets(batches):
         for batch in batches:
             found = [signatures(t) for t in batch["text"]]
-            first = [first_spots(s, frequent, place, threshold).tobytes() for s in found]
-            yield pd.DataFrame({"class_id": [class_of(s) for s in found], "n": [s.size for s in found], "first": first, "h": batch["h"]})
-
-    classes = rows.select("text", F.xxhash64("text").alias("h")).mapInPandas(sets, "class_id long, n int, first binary, h long")
-    classes = checkpointed(classes.groupBy("class_id", "n").agg(F.min(F.struct("h", "first")).alias("m")).select("class_id", "n", "m.h", "m.first"))
-    # 4 bytes a signature; a length partition holds sets of which the smaller may be similar to the larger
-    spot = F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.length("first") / 4).cast("int") - 1), lambda k: F.substring("first", k * 4 + 1, F.lit(4))))
-    band = F.floor(F.log("n") / F.lit(-log(threshold)) + F.lit(1e-9)).cast("int")
-    keys = classes.select("class_id", "n", band.alias("band"), spot.alias("spot"))
-    a = keys.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "spot", F.col("band").alias("at"))
-    b = keys.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "spot", F.explode(F.array("band", F.col("band") + 1)).alias("at"))
-    fits = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - F.lit(1e-9)) & (F.col("a") != F.col("b"))
-    pairs = a.join(b, ["spot", "at"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = checkpointed(pairs)
-    # whole sets of the classes that met, from one text of each
-    met = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
-    wanted = checkpointed(classes.select("class_id", "h").join(met, "class_id"))
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-
-    def whole(batches):
-        for batch in batches:
-            yield pd.DataFrame({"class_id": batch["class_id"], "spots": [signatures(t).tobytes() for t in batch["text"]]})
+            first = [first_spots(s, frequent, place, threshold).astype(np.int32).tolist() for s in found]
+            yield pd.DataFrame({"class_id": [class_of(s) for s in found], "n": [s.size for s in found], "odd": [parity(s) for s in found], "h": batch["h"], "first": first})
 
-    texts = rows.withColumn("h", F.xxhash64("text")).join(wanted, "h").select("class_id", "text")
-    full = texts.mapInPandas(whole, "class_id long, spots binary").groupBy("class_id").agg(F.first("spots").alias("spots"))
-    full = checkpointed(full)
+    classes = rows.select("text", "h").mapInPandas(sets, "class_id long, n int, odd long, h long, first array<int>")
+    classes = checkpointed(classes.groupBy("class_id").agg(F.min(F.struct("h", "n", "odd", "first")).alias("m")).select("class_id", "m.*"))
+    keys = classes.select(F.explode("first").alias("spot"), "n", "odd", "class_id").repartition("spot").sortWithinPartitions("spot", "n")
+    candidates = components(keys.mapInArrow(_compared(threshold), "a long, b long"))
+    near = checkpointed(candidates.withColumnsRenamed({"node": "id"}).join(classes.select(F.col("class_id").alias("id"), "n", "h"), "id"))
+    wanted = F.broadcast(near) if near.count() <= FEW else near
 
-    @F.pandas_udf("double")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([likeness(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")) for p, q in zip(x, y, strict=True)], dtype="float64")
+    @F.pandas_udf("binary")
+    def whole(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: signatures(t).astype(np.uint64).tobytes())
 
-    left, right = (full.select(F.col("class_id").alias(x), F.col("spots").alias(f"s{x}")) for x in "ab")
-    near = pairs.join(left, "a").join(right, "b").where(alike("sa", "sb") >= F.lit(threshold - 1e-9))
-    return near.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    held = rows.join(wanted, "h").groupBy("id", "root", "n").agg(F.first("text").alias("text"))  # one text of each class
+    exact = components(set_links(checkpointed(held.select("id", "root", "n", whole("text").alias("shingles"))), threshold))
+    return exact.select(F.col("node").alias("class_id"), F.col("root").alias("near_id"))
 
 
-def with_links(found: DataFrame, near: DataFrame) -> DataFrame:
-    """Adds n_links to a table with class_id."""
+def with_groups(found: DataFrame, near: DataFrame) -> DataFrame:
+    """Adds near_id to a table with class_id: the group's smallest class, or the class itself."""
     near = checkpointed(near)
     near = F.broadcast(near) if near.count() <= FEW else near
-    return found.join(near, "class_id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    return found.join(near, "class_id", "left").withColumn("near_id", F.coalesce("near_id", "class_id"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (documents of equal fingerprints) and n_links, the number of other classes that are similar."""
+    """doc_id, class_id (documents of equal fingerprints) and near_id (of classes linked at the threshold)."""
 
     def classes(batches):
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "class_id": [class_of(signatures(t)) for t in batch["text"]]})
 
-    return with_links(_texts(docs).mapInPandas(classes, "doc_id long, class_id long"), links(docs, threshold)).select("doc_id", "class_id", "n_links")
+    return with_groups(_texts(docs).mapInPandas(classes, "doc_id long, class_id long"), near_groups(docs, threshold))
