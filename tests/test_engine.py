@@ -246,7 +246,7 @@ def test_vcf_round_trip(spark, vcf_path, tmp_path):
     out = str(tmp_path / "out.vcf")
     write_vcf(wide, out, names)
     lines = (tmp_path / "out.vcf").read_text().splitlines()
-    assert lines[0] == "##fileformat=VCFv4.3" and '##FORMAT=<ID=AD,Number=.,Type=String,Description="Unknow">' in lines
+    assert lines[0] == "##fileformat=VCFv4.3" and '##FORMAT=<ID=AD,Number=.,Type=String,Description="Column of the source table">' in lines
     body = [line.split("\t") for line in lines if not line.startswith("#")]
     assert [b[:2] for b in body] == [["1", "100"], ["1", "200"], ["2", "300"], ["2", "400"]]
     assert body[0][9:] == ["0/1:3,4:7:99", "1/1:0,8:8:."] and body[3][9] == "./.:.:.:." and int(body[2][2]) > 2**63

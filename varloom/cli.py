@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import importlib.util
 import math
+import os
 import platform
 import sys
+from importlib import metadata as metadata_of
 
 from pyspark.sql import functions as F
 
 from varloom import session
 from varloom.errors import NoContigsLengthInformationError, NoGenotypeError, NotAVCFError, NotVcfHeaderError
-from varloom.operators.genotypes import add_genotypes, genotypes
+from varloom.operators.genotypes import LISTED, add_genotypes, genotypes
 from varloom.operators.transmission import transmission, transmission_ped
 from varloom.operators.variants import annotations, variants
 from varloom.plans.layout import hive_genotypes, merge_variants
@@ -19,6 +22,7 @@ from varloom.sources.header import VcfHeader
 from varloom.sources.readers import read_metadata, read_pedigree, read_vcf
 from varloom.sources.writers import RowNames, write_headers, write_parquet, write_vcf
 
+PACKAGES = ("pyspark", "py4j", "pyarrow", "pandas", "numpy")
 BAD_HEADER, NOT_A_VCF, NO_CONTIGS, NO_FAMILY = 11, 12, 13, 31
 GROUPS = {"vcf2parquet": ("variants", "genotypes", "annotations", "headers"), "struct": ("variants", "genotypes")}
 
@@ -67,6 +71,7 @@ def _parser(name: str) -> argparse.ArgumentParser:
         for short, long, default in (("-c", "chromosome", "chr"), ("-p", "position", "pos"), ("-I", "identifier", "id"), ("-r", "reference", "ref"), ("-a", "alternative", "alt"), ("-q", "quality", None), ("-f", "filter", None)):
             add(short, f"--{long}", default=default)
         add("-F", "--format-string", default="GT:AD:DP:GQ")
+        add("--sharded", action="store_true", help="a folder of parts instead of one file")
     elif name == "struct":
         add("-i", "--input-paths", nargs="+", required=True)
         add("-a", "--append", action="store_true")
@@ -148,8 +153,11 @@ def parquet2vcf(spark, rest: list[str]) -> int:
         frame = add_genotypes(frame, long.drop("id_part"), samples)
         keys = [k for k in o.format_string.split(":") if k.lower() in long.columns]
         names.format = o.format_string
-        names.sample = {s: {k: f"{s}_{k.lower()}" for k in keys} for s in samples}
-    write_vcf(frame, o.output_path, names, header)
+        if LISTED in frame.columns:
+            names.listed, names.keys = samples, {k: k.lower() for k in keys}
+        else:
+            names.sample = {s: {k: f"{s}_{k.lower()}" for k in keys} for s in samples}
+    write_vcf(frame, o.output_path, names, header, o.sharded)
     return 0
 
 
@@ -187,12 +195,20 @@ def metadata(spark, rest: list[str]) -> int:
 COMMANDS = {"vcf2parquet": vcf2parquet, "parquet2vcf": parquet2vcf, "struct": struct, "transmission": transmit, "metadata": metadata}
 
 
+def debug_info() -> list[str]:
+    """Versions of this machine's Python, system and packages, and the settings in its environment that Spark reads."""
+    packages = {name: metadata_of.version(name) for name in PACKAGES if importlib.util.find_spec(name) is not None}
+    known = {k: v for k, v in sorted(os.environ.items()) if k.startswith(("SPARK_", "PYSPARK_", "JAVA_HOME", "HADOOP_"))}
+    return [
+        f"python: {platform.python_version()} ({sys.executable})", f"system: {platform.platform()}",
+        *(f"{name}: {version}" for name, version in packages.items()), *(f"{k}={v}" for k, v in known.items()),
+    ]
+
+
 def main(args: list[str] | None = None, spark=None) -> int:
     options = _root().parse_args(args)
     if options.debug_info:
-        import pyspark
-
-        print(f"python {platform.python_version()}, pyspark {pyspark.__version__}, {platform.platform()}")
+        print("\n".join(debug_info()))
         return 0
     if options.command is None:
         _root().print_help()

@@ -118,10 +118,6 @@ def null_ids(spark, sf_dir):
     return with_ids(spark, sf_dir).agg(F.count_if(F.col("id").isNull()).alias("n_null"), F.count_if(F.col("id") < 0).alias("n_long"))
 
 
-def drop_star(spark, sf_dir):
-    return vcf(spark, sf_dir).where("alt <> '*'").select("chr", "pos", "alt")
-
-
 def star_expand(spark, sf_dir):
     return vcf(spark, sf_dir).where("alt = '*'").select("chr", "pos", ids.expand_star(F.col("alt"), GENOME_LENGTH).alias("alt"))
 
@@ -228,6 +224,15 @@ def vcf_body(spark, sf_dir):
     return vcf_lines(_for_vcf(spark, sf_dir), vcf_names()).withColumnRenamed("value", "line")
 
 
+_TOLD = 'Description="Column of the source table">'
+#: What the header of `vcf_body` has to be.
+VCF_HEADER = [
+    "##fileformat=VCFv4.3", "##source=varloom", f"##INFO=<ID=AF,Number=1,Type=Integer,{_TOLD}", f"##INFO=<ID=AC,Number=.,Type=Integer,{_TOLD}",
+    f"##INFO=<ID=GENE,Number=1,Type=String,{_TOLD}", f"##FORMAT=<ID=GT,Number=1,Type=String,{_TOLD}", f"##FORMAT=<ID=DP,Number=1,Type=String,{_TOLD}",
+    "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts0\ts1\ts2",
+]
+
+
 def vcf_header(spark, sf_dir):
     lines = [*header_lines(_for_vcf(spark, sf_dir), vcf_names()), column_line(vcf_names())]
     return spark.createDataFrame(list(enumerate(lines)), "place long, line string")
@@ -244,9 +249,11 @@ def metadata_scan(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from varloom.plans import files
+
     own = (
         variant_id, variant_id_sql, unsigned_ids, id_partition_8, id_partition_9, contig_offsets, genome_length, merge_append,
-        variants_by_chr_count, null_ids, drop_star, star_expand, sv_alt_rewrite, info_typed, info_lists, info_select, annotation_columns,
+        variants_by_chr_count, null_ids, star_expand, sv_alt_rewrite, info_typed, info_lists, info_select, annotation_columns,
         genotypes_long, genotypes_wide, sample_counts, pedigree_family, annotated_rare, samples_with_gene, pathogenic_homozygous,
         partition_counts, region_lookup, vcf_body, vcf_header, ann_split, metadata_scan,
     )
@@ -255,7 +262,7 @@ def queries() -> dict[str, Query]:
         "unique_variants": unique_variants_query, "select_chromosome": select_chromosome_query,
         "transmission_trio": _trio("s1", "s2"), "transmission_no_father": _trio("s1", None), "transmission_no_mother": _trio(None, "s2"),
         "transmission_index_only": _trio(None, None), "transmission_ped": transmission_from_ped,
-    }
+    } | files.queries()
 
 
 def _info(name: str, of: str = "info") -> str:
@@ -315,6 +322,8 @@ def _trio_sql(mother: str | None, father: str | None) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    from varloom.plans import files
+
     part = "CASE WHEN id < 0 THEN {} ELSE id >> {} END"
     part8 = part.format(255, 55)
     unsigned = "CASE WHEN id < 0 THEN CAST(CAST(id AS HUGEINT) + 18446744073709551616 AS VARCHAR) ELSE CAST(id AS VARCHAR) END"
@@ -347,7 +356,6 @@ def oracle_sql() -> dict[str, str]:
         "variants_by_chr_count": "SELECT chr, count(*) AS n_variants FROM a_vcf GROUP BY chr",
         "select_chromosome": "SELECT id, chr, pos, ref, alt FROM v WHERE chr = 'chr7'",
         "null_ids": "SELECT count(*) FILTER (WHERE id IS NULL) AS n_null, count(*) FILTER (WHERE id < 0) AS n_long FROM v",
-        "drop_star": "SELECT chr, pos, alt FROM a_vcf WHERE alt <> '*'",
         "star_expand": f"SELECT chr, pos, {_STAR.format('alt')} AS alt FROM a_vcf WHERE alt = '*'",
         "sv_alt_rewrite": f"SELECT chr, pos, {_ALT} AS alt FROM a_vcf WHERE {_info('SVTYPE')} IS NOT NULL",
         "info_typed": f"SELECT chr, pos, CAST({_info('AF')} AS DOUBLE) AS AF, CAST({_info('EAF')} AS BIGINT) AS EAF, {_info('GENE')} AS GENE FROM a_vcf",
@@ -369,7 +377,11 @@ def oracle_sql() -> dict[str, str]:
         "partition_counts": f"SELECT {part8} AS id_part, count(*) AS n FROM g GROUP BY 1",
         "region_lookup": "SELECT id, chr, pos, ref, alt FROM v WHERE chr = 'chr5' AND pos BETWEEN 1000 AND 90000",
         "vcf_body": body,
+        "vcf_header": "SELECT CAST(place AS BIGINT) AS place, line FROM (VALUES "
+        + ", ".join(f"({k}, '{line}')" for k, line in enumerate(VCF_HEADER)) + ") t(place, line)",
         "ann_split": f"SELECT chr, pos, {ann} FROM a_vcf",
         "metadata_scan": "SELECT sample, type_analyse, affected, count(*) AS n FROM a_metadata GROUP BY ALL",
     }
+    lines = f"SELECT concat_ws(chr(9), chr_, CAST(pos AS VARCHAR), coalesce({unsigned}, '.'), ref, alt, '.', '.', '.', 'GT:DP', {', '.join(sample.values())}) AS line FROM " + body.split(" AS line FROM ", 1)[1]
+    own |= files.oracle_sql(lines, _trio_sql("s1", "s2"), part8)
     return {name: f"{_base()}\n{sql}" for name, sql in own.items()}

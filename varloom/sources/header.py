@@ -13,7 +13,21 @@ from varloom.errors import NotVcfHeaderError
 from varloom.functions.fields import Parser, format_parser, info_field
 
 FIXED = ("chr", "pos", "vid", "ref", "alt", "qual", "filter", "info")
-DECLARED = re.compile(r"^##(INFO|FORMAT)=<ID=([A-Za-z_][0-9A-Za-z_.]*|1000G),Number=([ARG0-9.]+),Type=(Integer|Float|String|Character)\b")
+#: A declaration and its attributes, which may come in any order; keys are as the format's specification has them.
+DECLARATION = re.compile(r"##(INFO|FORMAT)=<(.*)>\s*")
+ATTRIBUTE = re.compile(r'(\w+)=("(?:[^"\\]|\\.)*"|[^,]*)(?:,|$)')
+KEY = re.compile(r"[A-Za-z_][\w.]*|1000G", re.A)
+NUMBER = re.compile(r"[ARG.]|\d+", re.A)
+TYPES = ("Integer", "Float", "String", "Character")
+
+
+def declaration(line: str) -> tuple[str, str, str, str] | None:
+    """(section, id, number, type) of an INFO or FORMAT line; None for flags, other lines and broken ones."""
+    if (m := DECLARATION.fullmatch(line)) is None:
+        return None
+    found = dict(ATTRIBUTE.findall(m[2]))
+    key, number, kind = found.get("ID", ""), found.get("Number", ""), found.get("Type", "")
+    return (m[1], key, number, kind) if KEY.fullmatch(key) and NUMBER.fullmatch(number) and kind in TYPES else None
 
 
 @dataclass
@@ -50,8 +64,8 @@ class VcfHeader:
         for line in self.lines:
             if line.startswith("#CHROM"):
                 return out
-            if (m := DECLARED.match(line)) and m[1] == section and (not wanted or m[2] in wanted):
-                out.append((m[2], m[3], m[4]))
+            if (d := declaration(line)) and d[0] == section and (not wanted or d[1] in wanted):
+                out.append(d[1:])
         raise NotVcfHeaderError
 
     def info_parser(self, select: Iterable[str] | None = None, info: str = "info") -> list[Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType
 
 from varloom.functions.ids import as_unsigned
+from varloom.operators.genotypes import LISTED
 from varloom.sources.header import VcfHeader
 
 
@@ -26,6 +28,9 @@ class RowNames:
     info: list[tuple[str, str]] = field(default_factory=list)
     format: str = ""
     sample: dict[str, dict[str, str]] = field(default_factory=dict)
+    #: Names in the order of the list column `_samples`, and its key for each FORMAT key, instead of columns for each sample.
+    listed: list[str] = field(default_factory=list)
+    keys: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
         self.qual = None if self.qual == "." else self.qual
@@ -40,7 +45,7 @@ def _declaration(section: str, name: str, kind: DataType) -> str:
     number = "." if isinstance(kind, ArrayType) else "1"
     item = kind.elementType if isinstance(kind, ArrayType) else kind
     what = "Integer" if isinstance(item, LongType) else "Float" if isinstance(item, DoubleType) else "String"
-    return f'##{section}=<ID={name},Number={number},Type={what},Description="Unknow">'
+    return f'##{section}=<ID={name},Number={number},Type={what},Description="Column of the source table">'
 
 
 def header_lines(frame: DataFrame, names: RowNames, source: str = "varloom") -> list[str]:
@@ -49,14 +54,17 @@ def header_lines(frame: DataFrame, names: RowNames, source: str = "varloom") ->
     lines = ["##fileformat=VCFv4.3", f"##source={source}"]
     lines += [_declaration("INFO", name, kinds[column]) for column, name in names.info]
     for key in [k for k in names.format.split(":") if k]:
-        columns = [s[key] for s in names.sample.values() if key in s]
-        listed = bool(columns) and isinstance(kinds.get(columns[0]), ArrayType)
-        lines.append(f'##FORMAT=<ID={key},Number={"." if listed else "1"},Type=String,Description="Unknow">')
+        if names.listed:
+            held = {f.name: f.dataType for f in kinds[LISTED].elementType.fields}.get(names.keys.get(key, ""))
+        else:
+            held = kinds.get(next((s[key] for s in names.sample.values() if key in s), ""))
+        listed = isinstance(held, ArrayType)
+        lines.append(f'##FORMAT=<ID={key},Number={"." if listed else "1"},Type=String,Description="Column of the source table">')
     return lines
 
 
 def column_line(names: RowNames) -> str:
-    return "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *names.sample] if names.format else [])])
+    return "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT", *(names.listed or names.sample)] if names.format else [])])
 
 
 def _text(column: Column, kind: DataType, empty: str = ".") -> Column:
@@ -72,20 +80,30 @@ def info_column(frame: DataFrame, info: list[tuple[str, str]]) -> Column:
     return F.concat_ws(";", *parts) if parts else F.lit(".")
 
 
-def sample_column(frame: DataFrame, keys: list[str], columns: dict[str, str]) -> Column:
-    kinds = {f.name: f.dataType for f in frame.schema.fields}
+def _sample_text(keys: list[str], columns: dict[str, tuple[Column, DataType]]) -> Column:
     parts = []
     for key in keys:
         if key not in columns:
             parts.append(F.lit("."))
         elif key == "GT":
-            gt = _name(columns[key])
+            gt = columns[key][0]
             parts.append(F.when(gt == 1, "0/1").when(gt == 2, "1/1").otherwise(F.coalesce(gt.cast("string"), F.lit("./."))))
         else:
-            parts.append(_text(_name(columns[key]), kinds[columns[key]]))
+            parts.append(_text(*columns[key]))
     return F.concat_ws(":", *parts)
 
 
+def sample_columns(frame: DataFrame, names: RowNames) -> list[Column]:
+    """The samples' fields: a column for each, or all of a list in one, joined by tabs."""
+    keys, kinds = names.format.split(":"), {f.name: f.dataType for f in frame.schema.fields}
+    if names.listed:
+        item = {f.name: f.dataType for f in kinds[LISTED].elementType.fields}
+        empty = F.array_repeat(F.lit(None).cast(kinds[LISTED].elementType), F.lit(len(names.listed)))
+        told = F.transform(F.coalesce(LISTED, empty), lambda x: _sample_text(keys, {k: (x[c], item[c]) for k, c in names.keys.items()}))
+        return [F.array_join(told, "\t")]
+    return [_sample_text(keys, {k: (_name(c), kinds[c]) for k, c in own.items()}) for own in names.sample.values()]
+
+
 def vcf_lines(frame: DataFrame, names: RowNames) -> DataFrame:
     """One text column with the lines of the body, no order implied."""
     kinds = dict(frame.dtypes)
@@ -99,24 +117,36 @@ def vcf_lines(frame: DataFrame, names: RowNames) -> DataFrame:
         info_column(frame, names.info),
     ]
     if names.format:
-        keys = names.format.split(":")
-        fixed += [F.lit(names.format), *(sample_column(frame, keys, columns) for columns in names.sample.values())]
+        fixed += [F.lit(names.format), *sample_columns(frame, names)]
     return frame.select(F.concat_ws("\t", *fixed).alias("value"))
 
 
-def write_vcf(frame: DataFrame, path: str, names: RowNames | None = None, header: VcfHeader | None = None) -> None:
-    """One VCF file in (chromosome, position) order.
+def in_order(frame: DataFrame, names: RowNames, contigs: list[str]) -> DataFrame:
+    """By chromosome, position and alleles. Chromosomes of the header come in its order, others by number, then by name."""
+    chromosome = _name(names.chromosome).cast("string")
+    declared = F.array_position(F.array(*map(F.lit, contigs)), chromosome) if contigs else F.lit(0)
+    first = F.when(declared > 0, declared)
+    number = F.regexp_extract(chromosome, r"^(?:chr)?(\d+)$", 1).try_cast("long")
+    return frame.orderBy(F.asc_nulls_last(first), F.asc_nulls_last(number), chromosome, _name(names.pos), _name(names.ref), _name(names.alt))
+
 
-    Executors write sorted parts in parallel; the driver only streams their bytes behind the header, by Spark's file systems.
+def write_vcf(frame: DataFrame, path: str, names: RowNames | None = None, header: VcfHeader | None = None, sharded: bool = False) -> None:
+    """A VCF in (chromosome, position) order, written by the executors in sorted parts.
+
+    sharded: a folder of the header and the parts, which `read_vcf` reads as one file; nothing passes through the driver. Else
+    one file: the driver streams the parts' bytes behind the header, by Spark's file systems.
     """
     names = names or RowNames()
-    spark = frame.sparkSession
     lines = [line for line in header.lines if not line.startswith("#CHROM")] if header else header_lines(frame, names)
+    contigs = [m[1] for line in lines if (m := re.match(r"##contig=<.*?ID=([^,>]+)", line))]
     head = "".join(f"{line}\n" for line in [*lines, column_line(names)])
-    ordered = frame.orderBy(_name(names.chromosome), _name(names.pos), _name(names.ref), _name(names.alt))
+    body = vcf_lines(in_order(frame, names, contigs), names)
+    if sharded:
+        write_sharded(body, path, head)
+        return
     parts = f"{path}.parts"
-    vcf_lines(ordered, names).write.mode("overwrite").text(parts)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    body.write.mode("overwrite").text(parts)
+    jvm, conf = frame.sparkSession._jvm, frame.sparkSession._jsc.hadoopConfiguration()
     target, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(parts)
     files = target.getFileSystem(conf)
     out = files.create(target, True)
@@ -132,6 +162,12 @@ def write_vcf(frame: DataFrame, path: str, names: RowNames | None = None, header
     files.delete(folder, True)
 
 
+def write_sharded(body: DataFrame, path: str, head: str, compression: str = "none") -> None:
+    """Lines as a folder of text parts, and the header as the file that sorts first."""
+    body.write.mode("overwrite").option("compression", compression).text(path)
+    write_text(body, f"{path}/00-header.vcf", head)
+
+
 def write_text(frame: DataFrame, path: str, text: str) -> None:
     """A small driver-side text as one file, by Spark's file systems."""
     spark = frame.sparkSession if isinstance(frame, DataFrame) else frame

@@ -10,17 +10,31 @@ from varloom.functions.ids import add_variant_id
 from varloom.operators.variants import new_variants, unique_variants, variants
 from varloom.plans.layout import _exists, read_variants
 from varloom.sources.contigs import ContigsLength
-from varloom.sources.header import FIXED
+from varloom.sources.header import FIXED, VcfHeader
 
 
-def stream_vcf(spark: SparkSession, folder: str, contigs: ContigsLength, samples: list[str] | None = None, files_per_trigger: int = 1000) -> DataFrame:
-    """A stream of the records of all VCF files that appear in the folder, with ids. Files must share their columns."""
+def stream_vcf(spark: SparkSession, folder: str, contigs: ContigsLength, samples: list[str] | None = None, files_per_trigger: int = 1000, header: VcfHeader | None = None) -> DataFrame:
+    """A stream of the records of all VCF files that appear in the folder, with ids. Files must share their columns.
+
+    header: what the files declare; with SVTYPE and SVLEN structural alleles are rewritten as in a batch scan.
+    """
     names = [*FIXED, *(["format", *samples] if samples else [])]
     schema = ", ".join(f"`{n}` string" for n in names)
     options = {"sep": "\t", "comment": "#", "quote": "", "escape": "", "maxFilesPerTrigger": files_per_trigger}
     frame = spark.readStream.schema(schema).options(**options).csv(folder)
     frame = frame.withColumn("pos", F.col("pos").cast("long"))
-    return add_variant_id(frame, contigs.frame(spark), contigs.genome_length)
+    extra = header.info_parser({"SVTYPE", "SVLEN"}) if header else []
+    frame = add_variant_id(frame.select("*", *extra), contigs.frame(spark), contigs.genome_length)
+    return frame.select(*[f"`{n}`" for n in names], "id")
+
+
+def _near(there: DataFrame, found: DataFrame) -> DataFrame:
+    """What is there of the batch's chromosomes between its positions: partitions and row groups that are pruned are not read."""
+    spans = found.groupBy("chr").agg(F.min("pos").alias("low"), F.max("pos").alias("high")).collect()  # one row for each chromosome
+    near = F.lit(False)
+    for chr_, low, high in spans:
+        near = near | F.col("chr").eqNullSafe(F.lit(chr_)) & (F.col("pos").between(low, high) | F.col("pos").isNull())
+    return there.where(near)
 
 
 def ingest_variants(stream: DataFrame, prefix: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -31,10 +45,10 @@ def ingest_variants(stream: DataFrame, prefix: str, checkpoint: str, **trigger)
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        found = unique_variants(variants(batch))
-        if _exists(spark, prefix):
-            found = new_variants(read_variants(spark, prefix), found)
-        found.write.mode("append").partitionBy("chr").parquet(prefix)
+        own = unique_variants(variants(batch)).persist()
+        new = new_variants(_near(read_variants(spark, prefix), own), own) if _exists(spark, prefix) else own
+        new.write.mode("append").partitionBy("chr").parquet(prefix)
+        own.unpersist()
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
