@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -12,9 +11,14 @@ Parser = Callable[[Column], Column]
 
 
 def info_text(info: Column, name: str) -> Column:
-    """The value of one INFO key, null if absent; the key must stand at the start or behind a semicolon."""
-    found = F.regexp_extract(info, rf"(?:^|;){re.escape(name)}=([^;]+)", 1)
-    return F.nullif(found, F.lit(""))
+    """The value of one INFO key, null if absent or empty; the key must stand at the start or behind a semicolon.
+
+    A search for the key and one for the next semicolon, in bytes: several times cheaper than a regular expression.
+    """
+    marked, key = F.concat(F.lit(";"), info), f";{name}="
+    at = F.instr(marked, key)
+    value = F.substring_index(F.substring(marked, at + len(key), F.length(marked)), ";", 1)
+    return F.when(at > 0, F.nullif(value, F.lit("")))
 
 
 def typed(value: Column, kind: str) -> Column:
