@@ -3,6 +3,13 @@
 Each stage takes what its predecessor kept and returns the columns of documents, the last one packed pieces. `run` writes
 each stage as Parquet in the shared folder and reads it again, so a lost executor repeats one stage at most; the stage before
 is then deleted.
+
+Nulls and edges, for each stage: a null text is scored as an empty one, keeps its null in line dedup, counts as an empty text in
+near-dedup (texts without words are alike, one stays), holds no benchmark passage, and packs as its end id. A null doc_id is a
+document like any other; of a near-dedup group the smallest known id stays. Repeated rows and rows that tie in doc_id are scored
+and cleaned each; near-dedup keeps one. Very long texts are read whole by every stage. Empty tables of documents, labels or
+benchmark give empty or unfiltered results (without labels every document scores 0.5 and stays). Extra columns pass through all
+stages but the last, whatever their names; `n_chars` follows the text.
 """
 
 from __future__ import annotations
