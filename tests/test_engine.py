@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom import cli, errors
 from varloom.functions import fields, ids
-from varloom.operators.genotypes import add_genotypes, genotypes
+from varloom.operators.genotypes import LISTED, add_genotypes, genotypes
 from varloom.operators.transmission import transmission, transmission_ped
 from varloom.operators.variants import annotations, variants
 from varloom.plans import layout
@@ -316,3 +316,59 @@ def test_wide_cohort_equals_columns(spark, vcf_path):
     assert "_samples" in wide.frame.columns and "s2" not in wide.frame.columns
     a, b = (genotypes(v.frame, v.header.format_parser(), samples=names) for v in (narrow, wide))
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())) and a.count() == 4
+
+
+def test_wide_cohort_to_vcf_and_back(spark, tmp_path):
+    """More samples than get columns: one list from genotypes to a sharded VCF and back, repeated genotypes whole."""
+    samples = [f"p{k}" for k in range(230)]
+    v = spark.createDataFrame([(1, "chr10", 5, "A", "T"), (2, "chr2", 7, "A", "C"), (3, "chr2", 9, "G", "C")], "id long, chr string, pos long, ref string, alt string")
+    g = [(1, f"p{k}", 1 + k % 2, 10 + k) for k in range(0, 230, 3)] + [(2, "p7", 1, 50), (2, "p7", 2, None), (2, "p229", 1, 4), (9, "p1", 1, 1)]
+    long = spark.createDataFrame(g, "id long, sample string, gt int, dp long")
+    frame = add_genotypes(v, long, samples)
+    assert LISTED in frame.columns and len(frame.columns) == 6
+    names = RowNames(format="GT:DP", listed=samples, keys={"GT": "gt", "DP": "dp"})
+    at = str(tmp_path / "wide")
+    header = VcfHeader(["##fileformat=VCFv4.3", "##contig=<ID=chr2,length=50>", "##contig=<ID=chr10,length=50>", '##FORMAT=<ID=GT,Number=1,Type=String,Description="">'])
+    write_vcf(frame, at, names, header, sharded=True)
+    lines = [x for x in spark.read.text(at).collect() if not x[0].startswith("#")]
+    assert len(lines) == 3 and sorted(x[0].split("\t")[0] for x in lines) == ["chr10", "chr2", "chr2"]
+    back = {r["pos"]: r[LISTED] for r in read_vcf(spark, at).frame.collect()}
+    told = {1: "0/1", 2: "1/1"}
+    assert back[5] == [f"{told[1 + k % 2]}:{10 + k}" if k % 3 == 0 else "./.:." for k in range(230)]
+    assert back[7] == ["1/1:." if k == 7 else "0/1:4" if k == 229 else "./.:." for k in range(230)] and set(back[9]) == {"./.:."}
+
+
+def test_one_file_is_in_genome_order(spark, tmp_path):
+    rows = [(k, c, p, "A", "T") for k, (c, p) in enumerate([("chr10", 1), ("chr2", 9), ("chrX", 2), ("chr2", 3), ("chr1", 5)])]
+    frame = spark.createDataFrame(rows, "id long, chr string, pos long, ref string, alt string")
+    write_vcf(frame, str(tmp_path / "a.vcf"))
+    told = [line.split("\t")[:2] for line in (tmp_path / "a.vcf").read_text().splitlines() if not line.startswith("#")]
+    assert told == [["chr1", "5"], ["chr2", "3"], ["chr2", "9"], ["chr10", "1"], ["chrX", "2"]]
+    header = VcfHeader(["##contig=<ID=chrX,length=9>", "##contig=<ID=chr10,length=9>"])
+    write_vcf(frame, str(tmp_path / "b.vcf"), header=header)
+    told = [line.split("\t")[0] for line in (tmp_path / "b.vcf").read_text().splitlines() if not line.startswith("#")]
+    assert told == ["chrX", "chr10", "chr1", "chr2", "chr2"]
+
+
+def test_appends_match_null_keys_and_replace_tables(spark, tmp_path):
+    kind = "id long, chr string, pos long, ref string, alt string"
+    for name, rows in (("a", [(1, "chr1", 1, "A", "T"), (None, None, 2, "A", None)]), ("b", [(None, None, 2, "A", None), (3, "chr2", 4, "G", "C")])):
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / name))
+    old, at = spark.conf.get("spark.sql.sources.partitionOverwriteMode"), str(tmp_path / "merged")
+    try:
+        for mode in ("static", "dynamic"):
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+            layout.merge_variants(spark, [str(tmp_path / "a")], at)
+            layout.merge_variants(spark, [str(tmp_path / "b")], at, append=True)
+            layout.merge_variants(spark, [str(tmp_path / "b")], at, append=True)
+            assert layout.read_variants(spark, at).count() == 3
+            layout.merge_variants(spark, [str(tmp_path / "b")], at)
+            assert {r["chr"] for r in layout.read_variants(spark, at).collect()} == {None, "chr2"}
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+
+
+def test_debug_info(capsys):
+    assert cli.main(["--debug-info"]) == 0
+    told = capsys.readouterr().out
+    assert "python: " in told and "pyspark: " in told and "pyarrow: " in told
