@@ -25,6 +25,7 @@ import json
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,12 +204,34 @@ def peeled(turns: list[int], results: list[int | None], wants: list[list[int]])
     return placed
 
 
-def _peel_group(rows: pd.DataFrame) -> pd.DataFrame:
-    number = {h: k for k, h in enumerate(rows["h"].tolist())}
-    results = [None if pd.isna(r) else int(r) for r in rows["result_turn"]]
-    wants = [[] if refs is None else [number[r] for r in refs] for refs in rows["refs"]]
-    placed = [p or (None, None) for p in peeled(rows["call_turn"].tolist(), results, wants)]
-    return pd.DataFrame({"conv_id": rows["conv_id"], "h": rows["h"], "at": pd.array([p[0] for p in placed], "Int64"), "depth": pd.array([p[1] for p in placed], "Int64")})
+PLACES = "conv_id long, h long, at long, depth long"
+
+
+def _peel_each(batches):
+    """Peels rows (conv_id, h, call_turn, result_turn, refs) that come conversation by conversation, one held at a time."""
+    held: list[tuple] = []
+
+    def told():
+        number = {row[1]: k for k, row in enumerate(held)}
+        wants = [[number[r] for r in row[4] or ()] for row in held]
+        placed = [p or (None, None) for p in peeled([row[2] for row in held], [row[3] for row in held], wants)]
+        out.extend((row[0], row[1], *p) for row, p in zip(held, placed, strict=True))
+        held.clear()
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        names = [c.split()[0] for c in PLACES.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 4, names)
+
+    for batch in batches:
+        out: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][0] != row[0]:
+                told()
+            held.append(row)
+        yield batch_of(out)
+    out = []
+    told()
+    yield batch_of(out)
 
 
 def _peel_steps(calls: DataFrame) -> DataFrame:
@@ -244,7 +267,7 @@ def _placed(calls: DataFrame, group: int) -> DataFrame:
     sizes = tangled.groupBy("conv_id").agg(F.sum(1 + F.coalesce(F.size("refs"), F.lit(0))).alias("size"))
     large = checkpointed(sizes.where(F.col("size") > group).select("conv_id"))
     small = tangled.join(large, "conv_id", "left_anti")
-    out = small.groupBy("conv_id").applyInPandas(_peel_group, "conv_id long, h long, at long, depth long")
+    out = small.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(_peel_each, PLACES)
     if large.isEmpty():
         return out
     steps = checkpointed(tangled.join(large, "conv_id", "left_semi"))
