@@ -361,11 +361,20 @@ def set_forest(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, n
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def set_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Spanning links (a, b) between the similar sets of a candidate group. sets: id, root, n, checkpointed; shingles."""
+def tiled(sets: DataFrame) -> DataFrame:
+    """Adds tile and tiles to rows id, root, n: the sets of a candidate group in tiles of bounded size."""
     sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
     tiles = F.greatest(F.ceil(F.col("rows") / F.lit(SET_ROWS)), F.ceil(F.col("shingles") / F.lit(SET_SHINGLES))).cast("int")
-    rows = sets.join(sizes.select("root", tiles.alias("tiles")), "root").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    return sets.join(sizes.select("root", tiles.alias("tiles")), "root").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+
+
+def set_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Spanning links (a, b) between the similar sets of a candidate group. sets: id, root, n, checkpointed; shingles."""
+    return tile_links(tiled(sets), similarity)
+
+
+def tile_links(rows: DataFrame, similarity: float, kind: type = np.uint64) -> DataFrame:
+    """The same for rows id, root, tile, tiles and shingles (numbers of that kind); a row that comes again is passed over."""
     # each two tiles of a group meet, and with them all rows of either
     others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: (k != F.col("tile")) | (F.col("tiles") == 1))
     met = rows.select("root", "id", "shingles", "tile", F.explode(others).alias("other"))
@@ -385,11 +394,12 @@ def set_links(sets: DataFrame, similarity: float) -> DataFrame:
                     if len(held) > 1:
                         yield linked(held)
                     key, held = now, []
-                held.append((i, np.frombuffer(batch.column(4)[k].as_py(), np.uint64)))
+                if not held or held[-1][0] != i:
+                    held.append((i, np.frombuffer(batch.column(4)[k].as_py(), kind)))
         if len(held) > 1:
             yield linked(held)
 
-    dealt = met.repartition(2 * partitions(sets.sparkSession), "root", "x", "y").sortWithinPartitions("root", "x", "y")
+    dealt = met.repartition(2 * partitions(rows.sparkSession), "root", "x", "y").sortWithinPartitions("root", "x", "y", "id")
     return dealt.mapInArrow(compare, "a long, b long")
 
 

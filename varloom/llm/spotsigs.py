@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.llm.common import HASH_SPAN, boundaries, by_bucket, by_hash, checkpointed
-from varloom.llm.simhash import Trees, components, set_links
+from varloom.llm.simhash import Trees, components, tile_links, tiled
 
 CHAIN = 2
 THRESHOLD = 0.8
@@ -235,10 +235,13 @@ def _compared(threshold: float):
 
         for batch in batches:
             spots, *rest = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            if not len(spots):
+                continue
             cut = np.flatnonzero(np.diff(spots)) + 1
-            for begin, end in zip([0, *cut.tolist()], [*cut.tolist(), len(spots)], strict=True):
-                if begin == end:
-                    continue
+            begins, ends = np.append(0, cut), np.append(cut, len(spots))
+            met = ends - begins > 1  # what stands alone meets nothing, unless its signature goes on in another batch
+            met[[0, -1]] = True
+            for begin, end in zip(begins[met].tolist(), ends[met].tolist(), strict=True):
                 if int(spots[begin]) != spot:
                     if size > done and size > 1:
                         yield told()[1]
@@ -268,21 +271,26 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for batch in batches:
             found = [signatures(t) for t in batch["text"]]
             first = [first_spots(s, frequent, place, threshold).astype(np.int32).tolist() for s in found]
-            yield pd.DataFrame({"class_id": [class_of(s) for s in found], "n": [s.size for s in found], "odd": [parity(s) for s in found], "h": batch["h"], "first": first})
+            yield pd.DataFrame({"class_id": [class_of(s) for s in found], "n": [s.size for s in found], "odd": [parity(s) for s in found], "none": batch["none"], "i": batch["i"], "h": batch["h"], "first": first})
 
-    classes = rows.select("text", "h").mapInPandas(sets, "class_id long, n int, odd long, h long, first array<int>")
-    classes = checkpointed(classes.groupBy("class_id").agg(F.min(F.struct("h", "n", "odd", "first")).alias("m")).select("class_id", "m.*"))
+    # a row of each class stands for it, by id and hash
+    one = F.struct(F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("i"), "h")
+    classes = rows.select("text", one.alias("one")).select("text", "one.*").mapInPandas(sets, "class_id long, n int, odd long, none int, i long, h long, first array<int>")
+    classes = classes.groupBy("class_id").agg(F.min(F.struct("none", "i", "h", "n", "odd", "first")).alias("m")).select("class_id", "m.*")
+    classes = checkpointed(classes)
     keys = classes.select(F.explode("first").alias("spot"), "n", "odd", "class_id").repartition("spot").sortWithinPartitions("spot", "n")
     candidates = components(keys.mapInArrow(_compared(threshold), "a long, b long"))
-    near = checkpointed(candidates.withColumnsRenamed({"node": "id"}).join(classes.select(F.col("class_id").alias("id"), "n", "h"), "id"))
+    near = candidates.withColumnsRenamed({"node": "id"}).join(classes.select(F.col("class_id").alias("id"), "n", "none", "i", "h"), "id")
+    near = checkpointed(tiled(checkpointed(near)))
     wanted = F.broadcast(near) if near.count() <= FEW else near
 
     @F.pandas_udf("binary")
     def whole(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: signatures(t).astype(np.uint64).tobytes())
+        return texts.map(lambda t: signatures(t).tobytes())
 
-    held = rows.join(wanted, "h").groupBy("id", "root", "n").agg(F.first("text").alias("text"))  # one text of each class
-    exact = components(set_links(checkpointed(held.select("id", "root", "n", whole("text").alias("shingles"))), threshold))
+    held = rows.select("text", one.alias("one")).select("text", "one.*").join(wanted, ["none", "i", "h"])
+    held = held.select("id", "root", "tile", "tiles", whole("text").alias("shingles"))
+    exact = components(tile_links(held, threshold, np.uint32))
     return exact.select(F.col("node").alias("class_id"), F.col("root").alias("near_id"))
 
 
