@@ -6,7 +6,7 @@ its signatures, as sorted 32-bit hashes in base64; likeness is the Jaccard simil
 Near-duplicate search brings sets together on the first signatures of each set in an order that all sets share: similar sets
 must have one of these in common. Signatures that are frequent in a bounded sample come last in that order (it decides what
 meets, never what is found). Whoever meets is ordered by length and compared with sets of a length that allows the threshold
-only, pruned by bits: the signatures' parities over 64 places differ in no more places than the sets in signatures. What is
+only, pruned by bits: the signatures' parities over 64 to 512 places differ in no more places than the sets in signatures. What is
 left joins candidate groups, by a spanning forest and not by pairs, and within these the Jaccard similarity of whole sets
 decides. Equal sets are one class, and near_id names the group of classes that are linked by similarities at the threshold.
 
@@ -45,6 +45,7 @@ THRESHOLD = 0.8
 ORDER_ROWS, ORDER_LEAST = 20_000, 3
 #: Up to so many keys (16 bytes each) are broadcast.
 FEW = 200_000
+SMALL, LARGE = 128, 512  # signatures up to which 64 and 256 places are kept of a set, beyond 512
 WINDOW = 1 << 15  # sets of one signature that are compared at a time
 #: Documents of a range, and ranges at most (a range is streamed, so it may be long).
 RANGE, RANGES = 1000, 10_000
@@ -181,10 +182,26 @@ def with_next(docs: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("bucket", "visit", "none", "down", "h").mapInArrow(as_rows, PAIRS)
 
 
-def parity(spots: np.ndarray) -> int:
-    """Of each of 64 places whether an odd number of signatures falls there."""
-    count = np.bincount((spots * np.uint32(0x9E3779B1)) >> np.uint32(26), minlength=64)
-    return int(np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.int64)[0])
+def parity(spots: np.ndarray) -> bytes:
+    """Of each of 64 places whether an odd number of signatures falls there; of 256 or 512 places for larger sets."""
+    places = 64 if spots.size <= SMALL else 256 if spots.size <= LARGE else 512
+    count = np.bincount(((spots * np.uint32(0x9E3779B1)) >> np.uint32(16)) & np.uint32(places - 1), minlength=places)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parities over 64, 256 and 512 places as 64-bit words; zero where a set has fewer places."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    words = np.frombuffer(column.buffers()[2], np.uint8)[: int(offsets[-1])]
+    words = words[: words.size // 8 * 8].view(np.uint64)
+    start, many = offsets[:-1] // 8, np.diff(offsets) // 8
+    p64, p256, p512 = np.zeros(len(column), np.uint64), np.zeros((len(column), 4), np.uint64), np.zeros((len(column), 8), np.uint64)
+    p64[many == 1] = words[start[many == 1]]
+    p512[many == 8] = words[start[many == 8][:, None] + np.arange(8)]
+    p256[many == 8] = p512[many == 8, :4] ^ p512[many == 8, 4:]
+    p256[many == 4] = words[start[many == 4][:, None] + np.arange(4)]
+    p64[many > 1] = np.bitwise_xor.reduce(p256[many > 1], axis=1)
+    return p64, p256, p512
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
@@ -209,19 +226,24 @@ def first_spots(spots: np.ndarray, frequent: np.ndarray, place: np.ndarray, thre
 
 
 def _compared(threshold: float):
-    """Over rows (spot, n, parity, class_id) in order of spot and n: links of a forest of the sets that may be similar."""
+    """Over rows (spot, n, parities, class_id) in order of spot and n: links of a forest of the sets that may be similar."""
 
-    def near(n, odd, ids, done: int) -> tuple[np.ndarray, np.ndarray]:
+    def near(n, ids, p64, p256, p512, done: int) -> tuple[np.ndarray, np.ndarray]:
         trees = Trees(len(n))
         for begin in range(done, len(n), 512):
             end = min(begin + 512, len(n))
             low = int(np.searchsorted(n, ceil(threshold * int(n[begin]) - 1e-9)))
-            apart = np.bitwise_count(odd[begin:end, None] ^ odd[None, low:end])
+            apart = np.bitwise_count(p64[begin:end, None] ^ p64[None, low:end])
             sizes = n[begin:end, None] + n[None, low:end]
             fits = (apart <= (1 - threshold) / (1 + threshold) * sizes + 1e-9) & (n[None, low:end] >= threshold * n[begin:end, None] - 1e-9)
             x, y = np.nonzero(fits)
             x, y = x + begin, y + low
-            trees.add(x[x > y], y[x > y])
+            x, y = x[x > y], y[x > y]
+            for least, wide in ((SMALL, p256), (LARGE, p512)):  # more places, where both sets have them
+                apart = np.bitwise_count(wide[x] ^ wide[y]).sum(1, dtype=np.int64)
+                keep = (np.minimum(n[x], n[y]) <= least) | (apart <= (1 - threshold) / (1 + threshold) * (n[x] + n[y]) + 1e-9)
+                x, y = x[keep], y[keep]
+            trees.add(x, y)
         a, b = trees.links()
         return ids[a], ids[b]
 
@@ -230,13 +252,14 @@ def _compared(threshold: float):
 
         def told():
             data = [np.concatenate(c) for c in zip(*held, strict=True)]
-            a, b = near(data[0].astype(np.int64), data[1].view(np.uint64), data[2], done)
+            a, b = near(data[0].astype(np.int64), *data[1:], done)
             return data, pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            spots, *rest = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            if not len(spots):
+            if not batch.num_rows:
                 continue
+            spots, n, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            rest = [n, ids, *folded(batch.column(2))]
             cut = np.flatnonzero(np.diff(spots)) + 1
             begins, ends = np.append(0, cut), np.append(cut, len(spots))
             met = ends - begins > 1  # what stands alone meets nothing, unless its signature goes on in another batch
@@ -275,7 +298,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # a row of each class stands for it, by id and hash
     one = F.struct(F.col("doc_id").isNull().cast("int").alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("i"), "h")
-    classes = rows.select("text", one.alias("one")).select("text", "one.*").mapInPandas(sets, "class_id long, n int, odd long, none int, i long, h long, first array<int>")
+    classes = rows.select("text", one.alias("one")).select("text", "one.*").mapInPandas(sets, "class_id long, n int, odd binary, none int, i long, h long, first array<int>")
     classes = classes.groupBy("class_id").agg(F.min(F.struct("none", "i", "h", "n", "odd", "first")).alias("m")).select("class_id", "m.*")
     classes = checkpointed(classes)
     keys = classes.select(F.explode("first").alias("spot"), "n", "odd", "class_id").repartition("spot").sortWithinPartitions("spot", "n")
