@@ -40,7 +40,9 @@ def counted(line: Column) -> Column:
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
     """(line hash, site, hash of the whole text) of every line that counts."""
-    rows = docs.select(F.col(site).cast("string").alias("site"), F.xxhash64("text").alias("text"), F.explode(F.split("text", "\n")).alias("line"))
+    # hashed before it is cut, or each line's row would hash the whole text anew
+    rows = docs.select(F.col(site).cast("string").alias("site"), F.xxhash64("text").alias("text"), F.split("text", "\n").alias("lines"))
+    rows = rows.select("site", "text", F.explode("lines").alias("line"))
     return rows.where(counted(F.col("line"))).select(line_key(F.col("line")).alias("key"), "site", "text")
 
 
@@ -67,10 +69,16 @@ def boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source") -> Da
 
 
 def _removed(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """For each distinct text with boilerplate: its md5 and the positions of those lines."""
-    texts = docs.select(F.md5(F.col("text")).alias("of"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    """For each distinct text with boilerplate: its md5, and whether each line goes, up to the last that does."""
+    texts = docs.select(F.md5(F.col("text")).alias("of"), F.split("text", "\n").alias("lines")).select("of", F.posexplode("lines").alias("at", "line"))
     lines = texts.where(counted(F.col("line"))).select("of", "at", line_key(F.col("line")).alias("key"))
-    return lines.join(keys.select("key"), "key").groupBy("of").agg(F.collect_set("at").alias("gone"))
+    found = lines.join(keys.select("key"), "key").groupBy("of").agg(F.sort_array(F.collect_set("at")).alias("places"))
+
+    def upto(place, k):
+        before = F.when(k > 0, F.get("places", k - 1)).otherwise(-1)
+        return F.concat(F.array_repeat(F.lit(False), place - before - 1), F.array(F.lit(True)))
+
+    return found.select("of", F.flatten(F.transform("places", upto)).alias("gone"))
 
 
 def remove(docs: DataFrame, keys: DataFrame, inline: int = INLINE, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
@@ -87,7 +95,7 @@ def remove(docs: DataFrame, keys: DataFrame, inline: int = INLINE, counts: tuple
     else:
         found = _removed(docs.select(text.alias("text")), keys).withColumnsRenamed({"of": of, "gone": gone})
         rows = docs.withColumn(of, F.md5(text)).join(found, of, "left")
-        left = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains(gone, i), F.lit(False)))
+        left = F.filter(lines, lambda x, i: ~F.coalesce(F.get(gone, i), F.lit(False)))
         rows = rows.withColumn(kept, left).drop(of, gone)
     size = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
     lost = F.when(text.isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
