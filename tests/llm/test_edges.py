@@ -483,3 +483,28 @@ def test_near_copies_are_those_of_exact_jaccard(spark, monkeypatch, rows_of_tile
     want = {root(k) for k in range(len(texts))}
     kept = {x["doc_id"] for x in simhash.drop_near_duplicates(spark.createDataFrame([row(k, t) for k, t in enumerate(texts)], SCHEMA)).collect()}
     assert kept == want and 40 < len(want) < len(texts)
+
+
+def test_parities_never_rule_out_a_similar_set():
+    """At every width that two sets share, and folded from the wider ones as counted anew."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    for size in (3, 100, 128, 140, 500, 520, 900, 3000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**32, size, dtype=np.uint32))
+            moved = int(len(a) / 9)
+            b = np.unique(np.concatenate([a[moved:], rng.integers(0, 2**32, moved, dtype=np.uint32)]))
+            shared = len(np.intersect1d(a, b))
+            assert shared / (len(a) + len(b) - shared) >= 0.79
+            apart = len(a) + len(b) - 2 * shared
+            column = pa.array([b"12345678", spotsigs.parity(a), spotsigs.parity(b)], pa.binary())[1:]
+            for places, words in zip((64, 256, 512), spotsigs.folded(column), strict=True):
+                words = words.reshape(2, -1)
+                if not words.any(1).all():
+                    continue
+                assert int(np.bitwise_count(words[0] ^ words[1]).sum()) <= apart
+                for x, got in zip((a, b), words, strict=True):
+                    at = ((x * np.uint32(0x9E3779B1)) >> np.uint32(16)) & np.uint32(places - 1)
+                    assert (got == np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8), bitorder="little").view(np.uint64)).all()
