@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -10,7 +11,7 @@ from varloom.functions import fields, ids
 from varloom.operators.genotypes import LISTED, add_genotypes, genotypes
 from varloom.operators.transmission import transmission, transmission_ped
 from varloom.operators.variants import annotations, variants
-from varloom.plans import layout
+from varloom.plans import files, layout
 from varloom.sources.contigs import ContigsLength
 from varloom.sources.header import VcfHeader
 from varloom.sources.readers import ColRename, read_metadata, read_pedigree, read_variant_csv, read_vcf
@@ -350,6 +351,29 @@ def test_one_file_is_in_genome_order(spark, tmp_path):
     assert told == ["chrX", "chr10", "chr1", "chr2", "chr2"]
 
 
+def test_order_in_a_file_of_over_one_gigabyte(spark, monkeypatch):
+    """Half of the lines stand behind 1.1 GB of comments, most of which is a hole in the file."""
+    sf, run = "/root/testdata/sf0.001", files._cli
+    want = sorted(map(tuple, files.vcf_order(spark, sf).collect()))
+
+    def stretched(spark, *words):
+        run(spark, *words)
+        out = Path(words[-1].removeprefix("file:"))
+        lines = out.read_bytes().splitlines(keepends=True)
+        half = len(lines) // 2
+        with out.open("wb") as file:
+            file.writelines(lines[:half])
+            for k in range(1, 1100):
+                file.write(b"#")
+                file.seek(k << 20)
+                file.write(b"\n")
+            file.writelines(lines[half:])
+        out.with_name(f".{out.name}.crc").unlink(missing_ok=True)
+
+    monkeypatch.setattr(files, "_cli", stretched)
+    assert sorted(map(tuple, files.vcf_order(spark, sf).collect())) == want
+
+
 def test_appends_match_null_keys_and_replace_tables(spark, tmp_path):
     kind = "id long, chr string, pos long, ref string, alt string"
     for name, rows in (("a", [(1, "chr1", 1, "A", "T"), (None, None, 2, "A", None)]), ("b", [(None, None, 2, "A", None), (3, "chr2", 4, "G", "C")])):

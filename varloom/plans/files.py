@@ -229,10 +229,12 @@ def vcf_order(spark, sf_dir):
     at = folder(spark)
     write_parquet(variants(with_ids(spark, sf_dir)), f"{at}/v")
     _cli(spark, "parquet2vcf", "-v", f"{at}/v", "-o", f"{at}/out.vcf")
-    lines = spark.read.schema("value string").option("wholetext", False).text(f"{at}/out.vcf")
-    kept = lines.withColumn("at", F.col("_metadata.file_block_start") * 2**33 + F.monotonically_increasing_id() % 2**33).where("NOT startswith(value, '#')")
-    rows = kept.select("at", F.split("value", "\t")[0].alias("chr"), F.split("value", "\t")[1].cast("long").alias("pos"))
-    firsts = rows.groupBy("chr").agg(F.min("at").alias("at"), F.min_by("pos", "at").alias("first_pos"), F.max_by("pos", "at").alias("last_pos"))
+    lines = spark.read.schema("value string").option("wholetext", False).text(f"{at}/out.vcf").where("NOT startswith(value, '#')")
+    parts = F.split("value", "\t")
+    # A place is a block's start and a row of the task that reads this block; both in one long would end at 1 GB.
+    rows = lines.select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), parts[0].alias("chr"), parts[1].cast("long").alias("pos"))
+    blocks = rows.groupBy("chr", "block").agg(F.min("row").alias("row"), F.min_by("pos", "row").alias("first_pos"), F.max_by("pos", "row").alias("last_pos"))
+    firsts = blocks.groupBy("chr").agg(F.min(F.struct("block", "row")).alias("at"), F.min_by("first_pos", "block").alias("first_pos"), F.max_by("last_pos", "block").alias("last_pos"))
     place = F.row_number().over(Window.orderBy("at")).cast("long")  # a row for each chromosome
     return firsts.select("chr", "first_pos", "last_pos", place.alias("place"))
 
