@@ -508,3 +508,52 @@ def test_parities_never_rule_out_a_similar_set():
                 for x, got in zip((a, b), words, strict=True):
                     at = ((x * np.uint32(0x9E3779B1)) >> np.uint32(16)) & np.uint32(places - 1)
                     assert (got == np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8), bitorder="little").view(np.uint64)).all()
+
+
+def test_words_in_bytes_are_those_of_the_expression():
+    """Every character, between letters and at the ends, and the ones that change length or meaning in lower case."""
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}B {c}Z{c}" for c in every[:0x3000]] + ["x".join(every[k : k + 40]) for k in range(0, len(every), 40)]
+    texts += ["", "ÀÉ ΑΣ Σ ΣΑΣ.ΣΑ", "İstanbul K Å", "don’t « vous » ! l’été", "\x00a\x1cb\x85c d_e", "a\ud800b"]
+    for t in texts:
+        want = [w.encode() for w in spotsigs.WORD.findall(t.lower())]
+        assert spotsigs.words_of(t) == want, ascii(t)
+
+
+def test_short_lists_are_compared_together(monkeypatch):
+    """Thousands of short posting lists in a batch are no step each, and link what they link one at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**32, int(rng.integers(4, 700)), dtype=np.uint32)) for _ in range(400)]
+    for k in range(600):  # near copies, some of them over the threshold
+        a = sets[k % 400]
+        sets.append(np.unique(np.concatenate([a[a.size * int(rng.integers(0, 4)) // 12 :], rng.integers(0, 2**32, 1, dtype=np.uint32)])))
+    rows = sorted((s, sets[k].size, k) for s in range(3000) for k in {s % 400, 400 + s % 400, 400 + s % 600, *rng.integers(0, 1000, s % 9).tolist()})
+    spot, n, ids = (np.array(c) for c in zip(*rows, strict=True))
+    columns = [pa.array(spot), pa.array(n.astype(np.int32)), pa.array([spotsigs.parity(sets[k]) for k in ids.tolist()], pa.binary()), pa.array(ids)]
+    whole = pa.RecordBatch.from_arrays(columns, ["spot", "n", "odd", "class_id"])
+    want = simhash.Trees(len(sets))
+    for s in range(3000):
+        own = ids[spot == s].tolist()
+        for x in own:
+            for y in own:
+                a, b = sets[x], sets[y]
+                if x < y and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+                    want.add(np.array([x]), np.array([y]))
+    assert len(want.left) > 100
+
+    def forest(batches):
+        found, trees = list(spotsigs._compared(0.8)(iter(batches))), simhash.Trees(len(sets))
+        for b in found:
+            trees.add(b.column(0).to_numpy(), b.column(1).to_numpy())
+        return len(found), trees.label
+
+    steps, got = forest([whole])
+    assert steps < 5
+    assert (got[want.left] == got[want.right]).all()
+    cut = [whole.slice(k, 997) for k in range(0, whole.num_rows, 997)]
+    assert (forest(cut)[1] == got).all()
+    monkeypatch.setattr(spotsigs, "SHORT", 0)
+    assert (forest([whole])[1] == got).all()

@@ -25,7 +25,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import zlib
 from bisect import bisect_right
 from math import ceil
 
@@ -49,6 +48,8 @@ SMALL, LARGE = 128, 512  # signatures up to which 64 and 256 places are kept of
 WINDOW = 1 << 15  # sets of one signature that are compared at a time
 #: Documents of a range, and ranges at most (a range is streamed, so it may be long).
 RANGE, RANGES = 1000, 10_000
+#: Up to so many sets of one signature are compared together with those of other signatures.
+SHORT = 64
 WORD = re.compile(r"\w+")
 #: Anchors: the commonest words of four languages (fixed values).
 ANCHORS = frozenset(
@@ -61,26 +62,49 @@ ANCHORS = frozenset(
     # Spanish
     "el los las y del se no por con una su para al lo como".split()
 )
+#: The same in bytes; what becomes of each byte (A-Z in lower case, what parts words a space, beyond ASCII as it is); and ASCII.
+_ANCHORS = frozenset(w.encode() for w in ANCHORS)
+_ASCII = bytes(range(128))
+_PLAIN = bytes(c if c > 127 else ord(chr(c).lower()) if WORD.match(chr(c)) else 32 for c in range(256))
+ODD = 32  # characters beyond ASCII that part words, up to which each is replaced in turn
 PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
 
 
+def words_of(text: str) -> list[bytes]:
+    """The words of WORD in the lower-cased text, in UTF-8. Bytes are translated and split, which takes a third of the time."""
+    if text.isascii():
+        return text.encode().translate(_PLAIN).split()
+    low = text.lower()
+    raw = low.encode("utf-8", "replace")
+    rest = raw.translate(None, _ASCII).decode()
+    if not rest.isalnum():
+        odd = {c for c in rest if not c.isalnum()}
+        if len(odd) > ODD:
+            return [w.encode() for w in WORD.findall(low)]
+        for c in odd:
+            raw = raw.replace(c.encode(), b" ")
+    return raw.translate(_PLAIN).split()
+
+
 def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
     """Sorted distinct hashes of the signatures of one whole text."""
-    words = WORD.findall(text.lower())
+    words = words_of(text)
     content, anchors = [], []
     for w in words:
-        if w in ANCHORS:
+        if w in _ANCHORS:
             anchors.append((w, len(content)))
         else:
             content.append(w)
     last = len(content) - chain
-    spots = {" ".join((w, *content[k : k + chain])) for w, k in anchors if k <= last}
+    spots = {b" ".join((w, *content[k : k + chain])) for w, k in anchors if k <= last}
     if not spots and len(words) > chain:
-        spots = {" ".join(c) for c in zip(*(words[k:] for k in range(chain + 1)), strict=False)}
+        spots = {b" ".join(c) for c in zip(*(words[k:] for k in range(chain + 1)), strict=False)}
     if not spots:
-        spots = {" ".join(words) or text}
-    digest = xxhash.xxh32_intdigest
-    return np.unique(np.array([digest(s.encode("utf-8", "replace")) for s in spots], "<u4"))
+        spots = {b" ".join(words) or text.encode("utf-8", "replace")}
+    hashes = set(map(xxhash.xxh32_intdigest, spots))
+    found = np.fromiter(hashes, "<u4", len(hashes))
+    found.sort()
+    return found
 
 
 def encoded(spots: np.ndarray) -> str:
@@ -134,28 +158,31 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = rows.select("place", bucket("place").alias("b")).groupBy("b").agg(F.min("place").alias("p")).collect()
     heads.sort(key=lambda r: r["b"])
     visits = {tuple(r["p"]): heads[k - 1]["b"] for k, r in enumerate(heads)}
-    schema = pa.schema([("bucket", pa.int32()), ("visit", pa.bool_()), ("none", pa.int32()), ("down", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("visit", pa.bool_()), ("none", pa.int32()), ("down", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("text", pa.binary())])
 
     def deal(batches):
+        pack = pa.Codec("zstd", 1)
         for batch in batches:
             out = []
             for doc, text, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at, packed = tuple(place.values()), zlib.compress(text.encode("utf-8", "replace"), 1)
-                out.append((bisect_right(cuts, at), False, *at, doc, packed))
+                at, raw = tuple(place.values()), text.encode("utf-8", "replace")
+                packed = pack.compress(raw, asbytes=True)
+                out.append((bisect_right(cuts, at), False, *at, doc, len(raw), packed))
                 if at in visits:
-                    out.append((visits[at], True, *at, doc, packed))
+                    out.append((visits[at], True, *at, doc, len(raw), packed))
             columns = list(zip(*out, strict=True)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches):
+        pack = pa.Codec("zstd")
         held = None  # bucket, doc_id, text, spots of the document whose next has not come
         done = None  # the range whose visitor has come; further rows equal to it are passed over
         for batch in batches:
             out = []
-            for own, visit, doc, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "visit", "doc_id", "text")), strict=True):
+            for own, visit, doc, size, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "visit", "doc_id", "size", "text")), strict=True):
                 if done == own:
                     continue
-                text = zlib.decompress(packed).decode()
+                text = pack.decompress(packed, size, asbytes=True).decode()
                 spots = held[3] if held is not None and held[2] == text else signatures(text)
                 if held is not None:
                     if held[0] != own:
@@ -178,7 +205,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
     out_schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in PAIRS.split(", ")])
-    dealt = by_bucket(rows.select("doc_id", "text", "place").mapInArrow(deal, "bucket int, visit boolean, none int, down long, h long, doc_id long, text binary"), "bucket", len(cuts) + 1)
+    dealt = by_bucket(rows.select("doc_id", "text", "place").mapInArrow(deal, "bucket int, visit boolean, none int, down long, h long, doc_id long, size long, text binary"), "bucket", len(cuts) + 1)
     return dealt.sortWithinPartitions("bucket", "visit", "none", "down", "h").mapInArrow(as_rows, PAIRS)
 
 
@@ -228,6 +255,35 @@ def first_spots(spots: np.ndarray, frequent: np.ndarray, place: np.ndarray, thre
 def _compared(threshold: float):
     """Over rows (spot, n, parities, class_id) in order of spot and n: links of a forest of the sets that may be similar."""
 
+    most = (1 - threshold) / (1 + threshold)  # places in which parities may differ, of the signatures of both
+
+    def fine(x, y, n, p256, p512) -> tuple[np.ndarray, np.ndarray]:
+        for least, wide in ((SMALL, p256), (LARGE, p512)):  # more places, where both sets have them
+            apart = np.bitwise_count(wide[x] ^ wide[y]).sum(1, dtype=np.int64)
+            keep = (np.minimum(n[x], n[y]) <= least) | (apart <= most * (n[x] + n[y]) + 1e-9)
+            x, y = x[keep], y[keep]
+        return x, y
+
+    def short(spot, n, ids, p64, p256, p512) -> tuple[np.ndarray, np.ndarray]:
+        """Many short lists at once: each set with the next of its list, with the one after that, and so on."""
+        at, left, right = np.arange(len(n)), [], []
+        for step in range(1, len(n)):
+            at = at[: np.searchsorted(at, len(n) - step)]
+            at = at[(spot[at] == spot[at + step]) & (n[at] >= threshold * n[at + step] - 1e-9)]
+            if not at.size:
+                break
+            x = at[np.bitwise_count(p64[at] ^ p64[at + step]) <= most * (n[at] + n[at + step]) + 1e-9]
+            left.append(x)
+            right.append(x + step)
+        if not left:
+            return ids[:0], ids[:0]
+        x, y = fine(np.concatenate(left), np.concatenate(right), n, p256, p512)
+        nodes, own = np.unique(ids, return_inverse=True)  # a set that lies in several lists is one node
+        trees = Trees(len(nodes))
+        trees.add(own[x], own[y])
+        a, b = trees.links()
+        return nodes[a], nodes[b]
+
     def near(n, ids, p64, p256, p512, done: int) -> tuple[np.ndarray, np.ndarray]:
         trees = Trees(len(n))
         for begin in range(done, len(n), 512):
@@ -235,15 +291,10 @@ def _compared(threshold: float):
             low = int(np.searchsorted(n, ceil(threshold * int(n[begin]) - 1e-9)))
             apart = np.bitwise_count(p64[begin:end, None] ^ p64[None, low:end])
             sizes = n[begin:end, None] + n[None, low:end]
-            fits = (apart <= (1 - threshold) / (1 + threshold) * sizes + 1e-9) & (n[None, low:end] >= threshold * n[begin:end, None] - 1e-9)
+            fits = (apart <= most * sizes + 1e-9) & (n[None, low:end] >= threshold * n[begin:end, None] - 1e-9)
             x, y = np.nonzero(fits)
             x, y = x + begin, y + low
-            x, y = x[x > y], y[x > y]
-            for least, wide in ((SMALL, p256), (LARGE, p512)):  # more places, where both sets have them
-                apart = np.bitwise_count(wide[x] ^ wide[y]).sum(1, dtype=np.int64)
-                keep = (np.minimum(n[x], n[y]) <= least) | (apart <= (1 - threshold) / (1 + threshold) * (n[x] + n[y]) + 1e-9)
-                x, y = x[keep], y[keep]
-            trees.add(x, y)
+            trees.add(*fine(x[x > y], y[x > y], n, p256, p512))
         a, b = trees.links()
         return ids[a], ids[b]
 
@@ -252,18 +303,25 @@ def _compared(threshold: float):
 
         def told():
             data = [np.concatenate(c) for c in zip(*held, strict=True)]
-            a, b = near(data[0].astype(np.int64), *data[1:], done)
-            return data, pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return data, as_links(*near(data[0], *data[1:], done))
+
+        def as_links(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             spots, n, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
-            rest = [n, ids, *folded(batch.column(2))]
+            rest = [n.astype(np.int64), ids, *folded(batch.column(2))]
             cut = np.flatnonzero(np.diff(spots)) + 1
             begins, ends = np.append(0, cut), np.append(cut, len(spots))
             met = ends - begins > 1  # what stands alone meets nothing, unless its signature goes on in another batch
-            met[[0, -1]] = True
+            few = met & (ends - begins <= SHORT)
+            few[[0, -1]], met[[0, -1]] = False, True
+            rows = np.repeat(few, ends - begins)
+            if rows.any():
+                yield as_links(*short(spots[rows], *(c[rows] for c in rest)))
+            met &= ~few
             for begin, end in zip(begins[met].tolist(), ends[met].tolist(), strict=True):
                 if int(spots[begin]) != spot:
                     if size > done and size > 1:
